@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, str] = {}
+# Once a table is written nothing reads the shuffle files of its job again.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int | str = "*", name: str = "quern", **conf: str) -> SparkSession:
@@ -65,7 +67,6 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -77,9 +78,15 @@ class Workspace:
         path = f"{self.path}/t{self._n:04d}"
         seen = Observation()
         watched = df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items()))
-        watched.write.parquet(path)
+        before = self.spark.conf.get(_DROP_SHUFFLES, None)
+        try:
+            if before is not None:
+                self.spark.conf.set(_DROP_SHUFFLES, "true")
+            watched.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(_DROP_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._quern_path = path
         return out, seen.get
 
