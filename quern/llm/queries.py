@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import consensus, content, groups, leakage, lookalike, mixing, overlap, splits
+from quern.llm import consensus, content, groups, leakage, lookalike, mixing, overlap, personal, splits
 from quern.workspace import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p4_found": lambda s, d: consensus.outvoted(table(s, d, "annotations")),
         "p4_consensus": lambda s, d: consensus.discover(table(s, d, "annotations")).items,
         "p4_reviewers": lambda s, d: consensus.discover(table(s, d, "annotations")).reviewers,
+        "p6_found": lambda s, d: personal.personal_kinds(table(s, d, "comments")),
+        "p6_masked": lambda s, d: personal.masked(table(s, d, "comments")),
         "p7_found": lambda s, d: overlap.split_overlaps(table(s, d, "split_groups"), table(s, d, "comments")).select("id_a", "id_b"),
         "p7_report": _overlap_report,
         "p8_found": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
