@@ -16,6 +16,8 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], part: Column,
     ``part`` is an integer that never falls as ``order`` grows (a range of the order column); it
     should cut groups into parts that fit a task. Rows with a NULL value add nothing.
     """
+    if not group:  # one group of all rows
+        return running_sum(df.withColumn("_all", F.lit(0)), ["_all"], order, part, value, out).drop("_all")
     src = df.withColumn("_part", part).withColumn("_v", F.coalesce(value, F.lit(0)).cast("bigint"))
     totals = src.groupBy(*group, "_part").agg(F.sum("_v").alias("_t"))
     before = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
