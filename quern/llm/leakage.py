@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about SHARD_BYTES of text; a longer text is a shard of its own."""
     for b in batches:
         text = b.column(1)
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64))
         start = 0
         while start < b.num_rows:
             base = ends[start - 1] if start else 0

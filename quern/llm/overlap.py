@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.words import words
+from quern.llm.tokens import mixed, split_words
 from quern.workspace import Workspace
 
 NUM, DEN = 4, 5  # similarity of at least 4/5
@@ -39,12 +39,6 @@ def _plan(turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return times, mask, deck[: BANDS * ROWS].reshape(BANDS, ROWS)
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def signatures(hashes: np.ndarray, starts: np.ndarray, turn: int) -> np.ndarray:
     """Minwise values (HASHES x sets) of the sets hashes[starts[i] : starts[i + 1]], none of them empty."""
     times, mask, _ = _plan(turn)
@@ -62,27 +56,77 @@ def band_keys(sig: np.ndarray, turn: int) -> np.ndarray:
     for b, rows in enumerate(bands):
         key = np.full(sig.shape[1], b + 1, dtype=np.uint64)
         for r in rows:
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r])
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[r])
         out[:, b] = key
     return out.view(np.int64)
 
 
+def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of all texts, text by text; the first of each text; and each text's number of words."""
+    h, doc, _, _ = split_words(texts)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    n_words = np.bincount(doc, minlength=len(texts))
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1)), n_words
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Slices small enough for a hash pass to stay in the cache."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _classed(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, text) to (id or text, cls): cls is a 128-bit digest of the set of words; only texts of LEAST_WORDS words."""
+        for b in _slices(batches):
+            sets, cuts, n = word_sets(b.column(1))
+            some = np.flatnonzero(n >= LEAST_WORDS)
+            if not len(some):
+                continue
+            digest = np.empty((len(some), 2), dtype=np.uint64)
+            for k, salt in enumerate((np.uint64(0x1B873593), np.uint64(0xCC9E2D51))):
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(sets ^ salt), dtype=np.uint64)))
+                digest[:, k] = sums[cuts[some + 1]] - sums[cuts[some]]
+            data = pa.py_buffer(digest.tobytes())
+            cls = pa.Array.from_buffers(pa.binary(16), len(some), [None, data]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1 if with_text else 0).take(pa.array(some)), cls], ["text" if with_text else "id", "cls"])
+
+    return run
+
+
 def _bands(turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (num, word hashes) to rows (key, num)."""
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):  # so that a hash pass stays in the cache
-                s = b.slice(at, 2000)
-                sets = s.column(1)
-                starts = np.asarray(sets.offsets, dtype=np.int64)
-                flat = np.asarray(sets.values, dtype=np.int64)[starts[0] : starts[-1]]
-                keys = band_keys(signatures(flat, (starts - starts[0])[:-1], turn), turn)
-                nums = np.repeat(np.asarray(s.column(0)), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nums)], ["key", "num"])
+        """Rows (num, text) to rows (key, num)."""
+        for b in _slices(batches):
+            sets, cuts, _ = word_sets(b.column(1))
+            keys = band_keys(signatures(sets, cuts[:-1], turn), turn)
+            nums = np.repeat(np.asarray(b.column(0)), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nums)], ["key", "num"])
 
     return run
 
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls_t, cls_e, text_t, text_e) to (cls_t, cls_e, similarity), those of at least 4/5."""
+    for b in _slices(batches):
+        (x, cx, _), (y, cy, _) = word_sets(b.column(2)), word_sets(b.column(3))
+        nx, ny = np.diff(cx), np.diff(cy)
+        both = np.concatenate([x, y])
+        pair = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
+        order = np.lexsort((both, pair))
+        both, pair = both[order], pair[order]
+        again = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
+        common = np.bincount(pair[1:][again], minlength=len(nx))
+        union = nx + ny - common
+        ok = np.flatnonzero(common * DEN >= union * NUM)
+        at = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(common[ok] / union[ok])], ["cls_t", "cls_e", "similarity"])
+
+
 def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split") -> DataFrame:
     """(id_a, split_a, id_b, split_b, similarity): pairs of near-same records, one in train and one in another split.
 
@@ -93,28 +137,22 @@ def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id"
     id has several texts each counts.
     """
     work = Workspace(records.sparkSession, "overlap")
-    ws = F.array_distinct("ws")
-    src = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("ws")).where(F.size("ws") >= LEAST_WORDS)
-    src = src.select("id", "text", F.unhex(F.md5(F.array_join(F.array_sort(ws), " "))).alias("cls"))
-    ids = split_rows.select(F.col(id_col).alias("id"), F.col(split_col).alias("split")).where("id IS NOT NULL AND split IS NOT NULL").distinct()
-    members = work.save(src.select("id", "cls").distinct().join(ids, "id"))
+    src = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    ids = split_rows.select(F.col(id_col).cast("string").alias("id"), F.col(split_col).alias("split")).where("id IS NOT NULL AND split IS NOT NULL").distinct()
+    members = work.save(src.mapInArrow(_classed(False), "id string, cls binary").distinct().join(ids, "id"))
     side = F.when(F.col("split") == TRAIN, 1).otherwise(2)
     sides = members.groupBy("cls").agg(F.bit_or(side).alias("sides"))
-    texts = src.groupBy("cls").agg(F.first("text").alias("text"))
+    texts = src.mapInArrow(_classed(True), "text string, cls binary").groupBy("cls").agg(F.first("text").alias("text"))
     classes = work.save(texts.join(sides, "cls").select(F.monotonically_increasing_id().alias("num"), "cls", "sides", "text"))
-    hashed = classes.select("num", "sides", F.transform(F.array_distinct(words(F.col("text"))), lambda w: F.xxhash64(w)).alias("set"))
+    train, other = (classes.where(F.col("sides").bitwiseAND(bit) != 0) for bit in (1, 2))
     found = None
     for turn in range(PASSES):
-        rows = [hashed.where(F.col("sides").bitwiseAND(bit) != 0).select("num", "set").mapInArrow(_bands(turn), "key bigint, num bigint") for bit in (1, 2)]
-        pairs = rows[0].select("key", F.col("num").alias("t")).join(rows[1].select("key", F.col("num").alias("e")), "key").where("t <> e").select("t", "e").distinct()
-        pairs = work.save(pairs)
+        x, y = (c.select("num", "text").mapInArrow(_bands(turn), "key bigint, num bigint") for c in (train, other))
+        pairs = work.save(x.withColumnRenamed("num", "t").join(y.withColumnRenamed("num", "e"), "key").where("t <> e").select("t", "e").distinct())
         found = pairs if found is None else found.unionByName(pairs)
-    sets = classes.select("num", "cls", "sides", F.array_distinct(words(F.col("text"))).alias("set"))
-    train, other = (sets.where(F.col("sides").bitwiseAND(bit) != 0).select(F.col("num").alias(n), F.col("cls").alias(f"cls_{n}"), F.col("set").alias(f"set_{n}")) for bit, n in ((1, "t"), (2, "e")))
-    both = found.distinct().join(train, "t").join(other, "e")
-    both = both.select("cls_t", "cls_e", F.size(F.array_intersect("set_t", "set_e")).alias("common"), (F.size("set_t") + F.size("set_e")).alias("sizes"))
-    near = both.where(F.col("common") * DEN >= (F.col("sizes") - F.col("common")) * NUM)
-    near = near.select("cls_t", "cls_e", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity"))
+    both = found.distinct().join(train.select(F.col("num").alias("t"), F.col("cls").alias("cls_t"), F.col("text").alias("text_t")), "t")
+    both = both.join(other.select(F.col("num").alias("e"), F.col("cls").alias("cls_e"), F.col("text").alias("text_e")), "e")
+    near = both.select("cls_t", "cls_e", "text_t", "text_e").mapInArrow(_verify, "cls_t binary, cls_e binary, similarity double")
     same = classes.where("sides = 3").select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(1.0).alias("similarity"))
     links = work.save(near.unionByName(same))
     i = members.where(F.col("split") == TRAIN).select(F.col("id").alias("i"), F.col("split").alias("si"), F.col("cls").alias("cls_t"))
