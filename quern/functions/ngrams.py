@@ -13,14 +13,14 @@ def word_ngrams(tk: Column, ngram_range: tuple[int, int] = (1, 1)) -> Column:
     """All n-grams of the range joined by spaces, shorter ones first, each in order of place."""
     if tuple(ngram_range) not in WORD_RANGES:
         raise ValueError(f"ngram_range must be one of {WORD_RANGES}")
-    parts = []
-    for n in range(ngram_range[0], ngram_range[1] + 1):
+
+    def of(n: int) -> Column:
         if n == 1:
-            parts.append(tk)
-        else:
-            grams = F.transform(F.sequence(F.lit(1), F.size(tk) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tk, i, n), " "))
-            parts.append(F.when(F.size(tk) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+            return tk
+        grams = F.transform(F.sequence(F.lit(1), F.size(tk) - (n - 1)), lambda i: F.array_join(F.slice(tk, i, n), " "))
+        return F.when(F.size(tk) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(ngram_range[0], ngram_range[1] + 1)])
 
 
 def char_wb_ngrams(tk: Column, low: int = 3, high: int = 5) -> Column:

@@ -1,17 +1,228 @@
-"""The queries that the core registers."""
+"""The queries that the core registers, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from quern.sources import raw_records
-from quern.workspace import table
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as X
+from quern.functions.ngrams import char_wb_ngrams, word_ngrams
+from quern.labels import LABELS
+from quern.operators import annotate, duplicates, evaluate, features, graph, models, quality, split
+from quern.plans import sql
+from quern.sources import raw_records, tables
+from quern.streaming import ingest
+from quern.workspace import Workspace, table
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "comments")
+
+
+def one_per_id(df: DataFrame) -> DataFrame:
+    """One row for each id: the first delivered."""
+    return df.groupBy("id").agg(F.min_by(F.struct("post_id", "text", "label", "source_id"), F.struct("loaded_at", "source_id", "collected_at")).alias("c")).select("id", "c.*")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled comments, one for each id, with a clean post (post:<id> where there is none)."""
+    rows = one_per_id(comments(spark, sf_dir)).where(F.col("label").isin(*LABELS))
+    post = F.lower(X.py_strip(F.coalesce(F.col("post_id"), F.lit(""))))
+    return rows.withColumn("post_id", F.when(post == "", F.concat(F.lit("post:"), "id")).otherwise(post))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments with ``seq``, their place by arrival."""
+    return tables.with_row_number(comments(spark, sf_dir), ["loaded_at", "id", F.xxhash64("source_id", "collected_at")])
+
+
+def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a fixed emoji rule, to be evaluated."""
+    t = F.col("text")
+    guess = F.when(t.rlike("[👎😡😢]"), "negative").when(t.rlike("[👍😊😍]"), "positive").otherwise("neutral")
+    return labelled(spark, sf_dir).select("id", "post_id", "text", F.col("label").alias("true_label"), guess.alias("predicted_label"))
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with clean label and reviewer, the latest of each reviewer and id."""
+    a = table(spark, sf_dir, "annotations").withColumns({"label": X.clean_label(F.coalesce("label", F.lit(""))), "reviewer": X.clean_label(F.coalesce("reviewer", F.lit("")))})
+    last = F.struct("submitted_at", "role", "label", "annotation_status", "notes")
+    return a.groupBy("id", "reviewer").agg(F.max(last).alias("v")).select("id", "reviewer", "v.role", "v.label", "v.annotation_status")
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled comments with normalized text and the split of the earlier splitting."""
+    splits = table(spark, sf_dir, "split_groups").select("id", "split")
+    return labelled(spark, sf_dir).join(splits, "id").withColumn("text", X.normalize_text(F.col("text")))
+
+
+def trained(spark: SparkSession, sf_dir: str, kind: str = "bow", max_features: int = 20_000):
+    """(train rows, held-out rows, vocabulary model, training features) in the workspace."""
+    work = Workspace(spark, "model")
+    rows = work.save(model_rows(spark, sf_dir))
+    train, held = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    fm = features.fit(train, features.Vectorizer(kind, max_features=max_features))
+    fm.vocabulary = work.save(fm.vocabulary)
+    return train, held, fm, work.save(fm.transform(train))
+
+
+def naive_bayes(spark: SparkSession, sf_dir: str):
+    train, held, fm, x = trained(spark, sf_dir)
+    return models.fit_naive_bayes(train, x, fm.vocabulary, 0.5), held, fm
+
+
+def nb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nb, held, fm = naive_bayes(spark, sf_dir)
+    return nb.predict(held, fm.transform(held)).join(held.select("id", "label"), "id").select("id", F.col("label").alias("true_label"), "predicted_label")
+
+
+def svm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, held, fm, x = trained(spark, sf_dir, "tfidf")
+    svm = models.fit_with_retry(train, x, fm.vocabulary, c=1.0, tol=1e-3, max_iter=200)
+    return svm.predict(held, fm.transform(held)).join(held.select("id", "label"), "id").select("id", F.col("label").alias("true_label"), "predicted_label")
+
+
+def grid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search log of four naive Bayes candidates."""
+    rows = labelled(spark, sf_dir).join(table(spark, sf_dir, "split_groups").select("id", "split"), "id")
+    found = models.search(rows.where("split = 'train'"), rows.where("split = 'validation'"), "bow", "nb")
+    log = [(r["candidate"], f"{r['ngram'][0]}-{r['ngram'][1]}", float(r["param"]), float(r["validation_macro_f1"]), r["candidate"] == found.best.settings["candidate"]) for r in found.log]
+    return spark.createDataFrame(log, "candidate int, ngram string, param double, validation_macro_f1 double, best boolean")
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier splitting with texts."""
+    s = table(spark, sf_dir, "split_groups").select("id", "split", "split_component")
+    return s.join(one_per_id(comments(spark, sf_dir)).select("id", "post_id", "text", "label"), "id")
+
+
+def clean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates with both ends, without blanks around ids, each pair once."""
+    a, b = X.py_strip(F.col("id_a")), X.py_strip(F.col("id_b"))
+    p = table(spark, sf_dir, "near_duplicates").select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
+    return p.where("id_a <> '' AND id_b <> '' AND id_a <> id_b").distinct()
+
+
+def post_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir)
+    known = rows.select("id")
+    pairs = clean_pairs(spark, sf_dir)
+    pairs = pairs.join(known.withColumnRenamed("id", "id_a"), "id_a", "left_semi").join(known.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
+    return graph.connected_posts(rows, rows, pairs)
+
+
+def term_totals(spark: SparkSession, sf_dir: str, terms: Column) -> DataFrame:
+    rows = labelled(spark, sf_dir).select(F.explode(terms).alias("term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+
+
+def bow_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent words with their document frequencies."""
+    fm = features.fit(labelled(spark, sf_dir), features.Vectorizer("bow", max_features=100))
+    return fm.vocabulary.select("term", F.col("df").cast("bigint").alias("df"), F.col("total").cast("bigint").alias("total"))
+
+
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir)
+    fm = features.fit(rows, features.Vectorizer("tfidf"))
+    return fm.transform(rows).select("id", "term", F.round("value", 6).alias("value"))
+
+
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, n_terms) of the word and character vocabulary, fitted on train only."""
+    train = model_rows(spark, sf_dir).where("split = 'train'")
+    fm = features.fit(train, features.Vectorizer("tfidf_word_char", char_max_features=20_000))
+    return fm.vocabulary.groupBy(F.when(F.col("part") == 0, "word").otherwise("char").alias("part")).agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_per_id(comments(spark, sf_dir))
+    return annotate.assign(rows, 4, annotate.stratified_sample(rows.where(F.col("label").isin(*LABELS)), "label", 30), annotate.sample_rows(rows, 40, 42))
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.audit(numbered(spark, sf_dir)).select("seq", "id_origin", F.array_join("audit_flags", ";").alias("audit_flags"), F.array_join("reasons", ";").alias("reasons"))
+
+
+def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.judge(numbered(spark, sf_dir)).select("seq", "id", "state", "reason")
+
+
+def _arrived() -> Column:
+    """Arrival in microseconds, which reads the same in every time zone."""
+    return F.unix_micros("loaded_at").alias("loaded_us")
+
+
+def metrics_of(f):
+    return lambda s, d: f(rule_predictions(s, d))
 
 
 def queries() -> dict:
+    # columns are made when a query runs, as they need a session
     return {
         "p5_found": lambda s, d: raw_records.rejected_rows(table(s, d, "raw_rows")),
         "p5_loaded": lambda s, d: raw_records.loaded_rows(table(s, d, "raw_rows")),
+        "p5_reasons": lambda s, d: raw_records.rejected_rows(table(s, d, "raw_rows")).groupBy("file_key", "reason").agg(F.count(F.lit(1)).alias("n")),
+        # validation and profiles
+        "exact_duplicate_groups": lambda s, d: duplicates.duplicate_groups(comments(s, d)),
+        "first_canonical": lambda s, d: duplicates.first_canonical(numbered(s, d)),
+        "duplicate_id_rows": lambda s, d: quality.repeated(comments(s, d), F.col("id")).select("id", _arrived()),
+        "violations": lambda s, d: quality.violations(comments(s, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n")),
+        "label_statistics": lambda s, d: quality.statistics(comments(s, d)),
+        "label_by_post": lambda s, d: quality.label_by_group(comments(s, d)),
+        "comment_profile": lambda s, d: quality.profile(comments(s, d)),
+        "source_counts": lambda s, d: quality.value_counts(comments(s, d), "source_id"),
+        "quality_flag_counts": lambda s, d: quality.flag_counts(comments(s, d)),
+        "split_file_profile": lambda s, d: quality.split_profile(comments(s, d)),
+        "audit": audited,
+        "ingest_states": ingest_states,
+        "row_hashes": lambda s, d: comments(s, d).select("id", _arrived(), tables.row_hash(["id", "post_id", "text", "label"]).alias("row_sha256")),
+        # text
+        "text_keys": lambda s, d: comments(s, d).select("id", _arrived(), X.text_key(F.col("text")).alias("text_key")),
+        "basic_normalized": lambda s, d: comments(s, d).select("id", _arrived(), X.basic_normalize(F.col("text")).alias("text")),
+        "normalized_texts": lambda s, d: comments(s, d).select("id", _arrived(), X.normalize_text(F.col("text")).alias("text")),
+        "normalized_emoji_mapped": lambda s, d: comments(s, d).select("id", _arrived(), X.normalize_text(F.col("text"), emoji_mode="map").alias("text")),
+        "redacted_emails": lambda s, d: comments(s, d).select("id", _arrived(), F.regexp_replace(F.col("text"), X.EMAIL, " emailtoken ").alias("text")),
+        "redacted_previews": lambda s, d: comments(s, d).select("id", _arrived(), X.redact_preview(F.col("text")).alias("text")),
+        "word_counts": lambda s, d: comments(s, d).select("id", _arrived(), X.word_count(F.col("text")).alias("n_words")),
+        "text_slices": lambda s, d: comments(s, d).select(F.explode(X.slices(F.col("text"))).alias("slice")).groupBy("slice").agg(F.count(F.lit(1)).alias("n")),
+        # features and models
+        "bow_top_terms": bow_top_terms,
+        "bigram_counts": lambda s, d: term_totals(s, d, F.filter(word_ngrams(X.tokens(F.col("text")), (1, 2)), lambda g: F.contains(g, F.lit(" ")))),
+        "trigram_total": lambda s, d: labelled(s, d).agg(F.sum(F.size(word_ngrams(X.tokens(F.col("text")), (1, 3)))).alias("n_grams")),
+        "char_ngram_total": lambda s, d: labelled(s, d).agg(F.sum(F.size(char_wb_ngrams(X.tokens(F.col("text"))))).cast("bigint").alias("n_grams")),
+        "tfidf": tfidf,
+        "word_char_vocabulary": feature_counts,
+        "nb_priors": lambda s, d: naive_bayes(s, d)[0].priors.select("label", F.col("n").cast("bigint").alias("n"), F.round("log_prior", 9).alias("log_prior")),
+        "nb_predictions": nb_predictions,
+        "nb_macro_metrics": lambda s, d: evaluate.macro_metrics(nb_predictions(s, d)),
+        "svm_predictions": svm_predictions,
+        "majority_predictions": lambda s, d: models.predict_majority(labelled(s, d), labelled(s, d)).groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n")),
+        "grid_log": grid_log,
+        "truncation": lambda s, d: models.truncation(comments(s, d).select((X.word_count(F.col("text")) + 2).alias("n_tokens")), 64),
+        # evaluation
+        "confusion_matrix": metrics_of(evaluate.confusion_matrix),
+        "label_metrics": metrics_of(evaluate.label_metrics),
+        "macro_metrics": metrics_of(evaluate.macro_metrics),
+        "slice_metrics": metrics_of(evaluate.slice_metrics),
+        "errors_by_post": metrics_of(evaluate.errors_by),
+        "misclassified": lambda s, d: evaluate.misclassified(rule_predictions(s, d)).select("id", "true_label", "predicted_label"),
+        # annotation
+        "vote_agreement": lambda s, d: annotate.pair_agreement(annotate.vote_pairs(votes(s, d))),
+        "merged_votes": lambda s, d: annotate.merge_votes(votes(s, d)),
+        "unanimity": lambda s, d: annotate.unanimity(annotate.merge_votes(votes(s, d))),
+        "assignments": assignments,
+        "assignment_counts": lambda s, d: annotate.task_counts(assignments(s, d)),
+        # splits and links
+        "split_leaks": lambda s, d: split.leaks(split_rows(s, d)),
+        "crossing_pairs": lambda s, d: split.crossing_pairs(clean_pairs(s, d), table(s, d, "split_groups")),
+        "broken_components": lambda s, d: split.broken_groups(table(s, d, "split_groups")),
+        "post_components": post_components,
+        "grouped_split": lambda s, d: split.grouped_split(labelled(s, d)).select("id", "post_id", "label", "split"),
+        "jaccard_pairs": lambda s, d: duplicates.jaccard_candidates(one_per_id(comments(s, d)).withColumn("seq", F.col("id")))[0].select("id_a", "id_b", F.round("jaccard", 9).alias("jaccard")),
+        "near_pairs": lambda s, d: duplicates.near_pairs(one_per_id(comments(s, d)).withColumn("seq", F.col("id"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracles()
