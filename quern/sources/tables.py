@@ -157,7 +157,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, si
     """
     out = df.select(*columns) if columns else df
     out = out.coalesce(1) if single else out
-    out.write.mode("errorifexists").options(header=True, quote='"', escape='"', emptyValue="", quoteAll=True).csv(path)
+    out.write.mode("errorifexists").options(header=True, quote='"', escape='"', emptyValue="", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
