@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.ngrams import char_wb_ngrams, word_ngrams
 from quern.functions.text import tokens
-from quern.workspace import maybe_broadcast
+from quern.workspace import Workspace, maybe_broadcast
 
 
 @dataclass
@@ -99,7 +99,8 @@ def fit(train: DataFrame, vectorizer: Vectorizer, id_col: str = "id", text_col:
             own = own.orderBy(F.desc("total"), "term").limit(most)
         kept = own if kept is None else kept.unionByName(own)
     idf = F.ln((1 + docs) / (1 + F.col("df"))) + 1
-    return FeatureModel(vectorizer, kept.select("part", "term", "df", "total", idf.alias("idf")), n)
+    vocabulary = Workspace(train.sparkSession, "vocabulary").save(kept.select("part", "term", "df", "total", idf.alias("idf")))
+    return FeatureModel(vectorizer, vocabulary, n)
 
 
 def unseen_terms(model: FeatureModel, train: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

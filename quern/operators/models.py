@@ -20,8 +20,15 @@ from quern.workspace import Workspace, maybe_broadcast
 
 
 def _best(scores: DataFrame) -> DataFrame:
-    """(id, predicted_label, scores...) from (id, label, score); ties go to the alphabetically first label."""
-    return scores.groupBy("id").agg(F.max(F.struct(F.col("score"), F.translate("label", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba").alias("o"), "label")).alias("b"), F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("scores")).select("id", F.col("b.label").alias("predicted_label"), "scores")
+    """(id, predicted_label, scores) from (id, label, score); ties go to the alphabetically first label."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "label"))
+    return scores.groupBy("id").agg(best.alias("b"), F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("scores")).select("id", F.col("b.label").alias("predicted_label"), "scores")
+
+
+def _per_label(rows: DataFrame, table: list[dict]) -> DataFrame:
+    """The rows once for each label, with the label's values; the table has one entry a label."""
+    entries = [F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in table]
+    return rows.withColumn("_l", F.explode(F.array(*entries))).select(*rows.columns, "_l.*")
 
 
 @dataclass
@@ -42,7 +49,8 @@ class NaiveBayes:
         sums = features.groupBy("id").agg(F.sum("value").alias("total"))
         extra = self.theta.join(self.rest, "label").select("label", "term", (F.col("log_theta") - F.col("log_rest")).alias("more"))
         fixes = features.join(maybe_broadcast(extra, 1_000_000), "term").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("more")).alias("more"))
-        base = rows.select("id").distinct().join(sums, "id", "left").crossJoin(F.broadcast(self.priors.join(self.rest, "label")))  # one row per label
+        known = self.priors.join(self.rest, "label").select("label", "log_prior", "log_rest").collect()  # one row a label
+        base = _per_label(rows.select("id").distinct().join(sums, "id", "left"), [r.asDict() for r in known])
         scores = base.join(fixes, ["id", "label"], "left")
         score = F.col("log_prior") + F.coalesce("total", F.lit(0.0)) * F.col("log_rest") + F.coalesce("more", F.lit(0.0))
         return _best(scores.select("id", "label", score.alias("score")))
@@ -50,13 +58,15 @@ class NaiveBayes:
 
 def fit_naive_bayes(labelled: DataFrame, features: DataFrame, vocabulary: DataFrame, alpha: float = 1.0) -> NaiveBayes:
     """labelled: (id, label); features: (id, term, value) of the same rows. Priors are not smoothed."""
-    n = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    priors = n.crossJoin(F.broadcast(total)).select("label", "n", F.ln(F.col("n") / F.col("total")).alias("log_prior"))  # one row
+    work = Workspace(labelled.sparkSession, "bayes")
+    n = work.save(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    priors = n.select("label", "n", F.ln(F.col("n") / F.lit(total)).alias("log_prior"))
     per_term = features.join(labelled.select("id", "label"), "id").groupBy("label", "term").agg(F.sum("value").alias("s"))
-    size = vocabulary.select("term").distinct().agg(F.count(F.lit(1)).alias("size"))
-    sums = priors.select("label").join(per_term.groupBy("label").agg(F.sum("s").alias("sum")), "label", "left").crossJoin(F.broadcast(size))  # one row
-    norm = sums.select("label", (F.coalesce("sum", F.lit(0.0)) + F.lit(alpha) * F.col("size")).alias("norm"))
+    per_term = work.save(per_term)
+    size = vocabulary.select("term").distinct().count()
+    sums = priors.select("label").join(per_term.groupBy("label").agg(F.sum("s").alias("sum")), "label", "left")
+    norm = work.save(sums.select("label", (F.coalesce("sum", F.lit(0.0)) + F.lit(alpha * size)).alias("norm")))
     theta = per_term.join(F.broadcast(norm), "label").select("label", "term", F.ln((F.col("s") + alpha) / F.col("norm")).alias("log_theta"))  # one row per label
     return NaiveBayes(priors, theta, norm.select("label", F.ln(F.lit(alpha) / F.col("norm")).alias("log_rest")), alpha)
 
@@ -72,8 +82,8 @@ class LinearSvm:
 
     def predict(self, rows: DataFrame, features: DataFrame) -> DataFrame:
         """(id, predicted_label, scores): scores are the one-against-rest margins."""
-        bias = self.weights.where("term = ''").select("label", F.col("weight").alias("bias"))
-        base = rows.select("id").distinct().crossJoin(F.broadcast(bias))  # one row per label
+        bias = self.weights.where("term = ''").select("label", F.col("weight").alias("bias")).collect()  # one row a label
+        base = _per_label(rows.select("id").distinct(), [r.asDict() for r in bias])
         sums = features.join(maybe_broadcast(self.weights.where("term <> ''"), 1_000_000), "term").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
         scores = base.join(sums, ["id", "label"], "left").select("id", "label", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("score"))
         return _best(scores)
@@ -201,7 +211,10 @@ def majority_class(labelled: DataFrame) -> DataFrame:
 
 
 def predict_majority(train: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.select("id").crossJoin(F.broadcast(majority_class(train).withColumnRenamed("label", "predicted_label")))  # one row
+    label = majority_class(train).first()
+    if label is None:
+        raise ValueError("the training set is empty")
+    return rows.select("id", F.lit(label[0]).alias("predicted_label"))
 
 
 def predictions(rows: DataFrame, predicted: DataFrame, model_name: str, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -261,7 +274,6 @@ def search(
             texts[mode] = tuple(work.save(d.select("id", "label", normalize_text(F.col("text"), emoji_mode=mode).alias("text"))) for d in (train, validation))
         tr, va = texts[mode]
         fm = fit(tr, Vectorizer(feature, ngram, min_df=min_df, max_features=max_features, sublinear_tf=sub))
-        fm.vocabulary = work.save(fm.vocabulary)
         x = work.save(fm.transform(tr))
         model = fit_naive_bayes(tr, x, fm.vocabulary, param) if algorithm == "nb" else fit_with_retry(tr, x, fm.vocabulary, c=param, class_weight=weight)
         pred = model.predict(va, fm.transform(va)).join(va.select("id", F.col("label").alias("true_label")), "id")

@@ -62,7 +62,6 @@ def trained(spark: SparkSession, sf_dir: str, kind: str = "bow", max_features: i
     rows = work.save(model_rows(spark, sf_dir))
     train, held = rows.where("split = 'train'"), rows.where("split <> 'train'")
     fm = features.fit(train, features.Vectorizer(kind, max_features=max_features))
-    fm.vocabulary = work.save(fm.vocabulary)
     return train, held, fm, work.save(fm.transform(train))
 
 
