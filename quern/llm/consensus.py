@@ -155,9 +155,8 @@ def discover(annotations: DataFrame, labels: Sequence[str] = LABELS, alpha: floa
     pairs = votes.groupBy("id", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("equal"))
     agreement = F.when(F.col("n_votes") > 1, F.col("equal") / (F.col("n_votes") * (F.col("n_votes") - 1)))
     items = items.join(pairs, "id").select("id", "consensus", "support", "n_votes", "top_label", "top_votes", agreement.alias("agreement"))
-    top = weights.agg(F.max("weight").alias("top"))
-    reviewers = weights.crossJoin(F.broadcast(top))  # one row
-    reviewers = reviewers.select("reviewer", "n_votes", "errors", (F.col("weight") / F.col("top")).alias("reliability"), (1 - F.col("errors") / F.nullif("n_judged", F.lit(0))).alias("accuracy"))
+    top = weights.agg(F.max("weight")).first()[0] or 1.0
+    reviewers = weights.select("reviewer", "n_votes", "errors", (F.col("weight") / F.lit(top)).alias("reliability"), (1 - F.col("errors") / F.nullif("n_judged", F.lit(0))).alias("accuracy"))
     return Consensus(items, reviewers, votes)
 
 

@@ -131,12 +131,12 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
     # a block beyond the planned slots follows at the end
     mixed = mixed.select(F.coalesce("slot", F.lit(1 << 40) + F.col("block")).alias("slot"), F.col("start").alias("place"), "source", "doc_id", "repeat", "n_tokens")
     sums = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("taken_docs"), F.sum("n_tokens").alias("taken_tokens"), F.max("repeat").alias("last"))
-    all_taken = sums.agg(F.sum("taken_tokens").alias("all_taken"))
-    shares = quotas.join(sums, "source", "left").na.fill(0, ["taken_docs", "taken_tokens"]).crossJoin(F.broadcast(all_taken))  # one row
+    all_taken = chosen.agg(F.sum("n_tokens")).first()[0] or 0
+    shares = quotas.join(sums, "source", "left").na.fill(0, ["taken_docs", "taken_tokens"])
     shares = shares.select(
         "source", "target_share", "max_repeats", "tokens", "taken_docs", "taken_tokens",
-        F.when(F.col("all_taken") > 0, F.col("taken_tokens") / F.col("all_taken")).otherwise(0.0).alias("actual_share"),
-        F.when(F.lit(total) > 0, F.col("taken_tokens") / F.lit(max(total, 1))).otherwise(0.0).alias("share_of_all"),
+        (F.col("taken_tokens") / F.lit(max(all_taken, 1))).alias("actual_share"),
+        (F.col("taken_tokens") / F.lit(max(total, 1))).alias("share_of_all"),
         (F.col("quota") < F.col("wanted")).alias("short"),
     )
     return mixed, shares

@@ -38,8 +38,8 @@ def _split_shares(spark, sf_dir):
     """(split, label, n_records, share) of p3_splits."""
     rows = splits.grouped_splits(table(spark, sf_dir, "comments"))
     per = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_records"))
-    total = per.agg(F.sum("n_records").alias("total"))
-    return per.crossJoin(F.broadcast(total)).select("split", "label", "n_records", (F.col("n_records") / F.col("total")).alias("share"))  # one row
+    total = per.agg(F.sum("n_records")).first()[0] or 1
+    return per.select("split", "label", "n_records", (F.col("n_records") / F.lit(total)).alias("share"))
 
 
 def _overlap_report(spark, sf_dir):
