@@ -44,8 +44,8 @@ def jaccard_candidates(df: DataFrame, seq: str = "seq", id_col: str = "id", text
 
     Rows with one key are a class, of which the first by ``seq`` stands for all; keys of one class
     are never paired. Exact prefix filtering: the tokens of a key are ordered by document
-    frequency, and only the first n - ceil(3n/5) + 1 of them are join keys, which loses no pair.
-    Frequencies are of all rows. Pairs (a, b) have a before b by ``seq``.
+    frequency, and only the first ones are join keys; with a bound by the places of the common
+    token this loses no pair. Frequencies are of all rows. Pairs (a, b) have a before b by ``seq``.
     """
     work = work or Workspace(df.sparkSession, "near")
     keyed = df.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), text_key(F.col(text_col)).alias("key")).where(F.length("key") >= LEAST_LENGTH)
@@ -55,13 +55,19 @@ def jaccard_candidates(df: DataFrame, seq: str = "seq", id_col: str = "id", text
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # ranks inside a text come from sorting its own tokens, so nothing else is gathered
     ordered = exploded.join(frequency, "token").groupBy("seq", "n", "len").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    prefix = F.col("n") - F.ceil(F.col("n") * JACCARD_NUM / JACCARD_DEN) + 1
-    rare = ordered.select("seq", "n", "len", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("t")).select("seq", "n", "len", F.xxhash64("t.token").alias("token"))
-    rare = work.save(rare)
-    x, y = rare.alias("x"), rare.alias("y")
-    pairs = x.join(y, F.expr("x.token = y.token AND x.seq < y.seq"))
-    pairs = pairs.where(f"least(x.len, y.len) >= {LEAST_LENGTH_RATIO} * greatest(x.len, y.len) AND {JACCARD_DEN} * least(x.n, y.n) >= {JACCARD_NUM} * greatest(x.n, y.n)")
-    pairs = pairs.select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
+    # a pair shares a token of the longer text's first n - ceil(3n/5) + 1 and the shorter one's first
+    # n - ceil(3n/4) + 1, as 3/4 = 2t / (1 + t) of the shorter must be common for t = 3/5
+    common = 2 * JACCARD_NUM
+    probe = F.col("n") - F.ceil(F.col("n") * JACCARD_NUM / JACCARD_DEN) + 1
+    index = F.col("n") - F.ceil(F.col("n") * common / (JACCARD_NUM + JACCARD_DEN)) + 1
+    rare = ordered.select("seq", "n", "len", index.alias("index"), F.posexplode(F.slice("o", F.lit(1), probe.cast("int"))).alias("pos", "t"))
+    rare = work.save(rare.select("seq", "n", "len", "index", "pos", F.xxhash64("t.token").alias("token")))
+    x, y = rare.where("pos < index").drop("index").alias("x"), rare.drop("index").alias("y")
+    pairs = x.join(y, F.expr("x.token = y.token AND (x.n < y.n OR x.n = y.n AND x.seq < y.seq)"))
+    pairs = pairs.where(f"least(x.len, y.len) >= {LEAST_LENGTH_RATIO} * greatest(x.len, y.len) AND {JACCARD_DEN} * x.n >= {JACCARD_NUM} * y.n")
+    # at the first common token no more than the rest of either text can be common
+    pairs = pairs.where(f"{JACCARD_NUM + JACCARD_DEN} * least(x.n - x.pos, y.n - y.pos) >= {JACCARD_NUM} * (x.n + y.n)")
+    pairs = pairs.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b")).distinct()
     left = classes.select(F.col("seq").alias("a"), F.col("id").alias("id_a"), F.col("key").alias("key_a"), F.col("tk").alias("tk_a"))
     right = classes.select(F.col("seq").alias("b"), F.col("id").alias("id_b"), F.col("key").alias("key_b"), F.col("tk").alias("tk_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("tk_a", "tk_b")))

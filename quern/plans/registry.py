@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions.ngrams import char_wb_ngrams, word_ngrams
 from quern.labels import LABELS
-from quern.operators import annotate, duplicates, evaluate, features, graph, models, quality, split
+from quern.operators import annotate, duplicates, encode, evaluate, features, graph, models, quality, split
 from quern.plans import sql
 from quern.sources import raw_records, tables
 from quern.streaming import ingest
 from quern.workspace import Workspace, table
 
 
+# A public tokenizer's file; where it lies elsewhere, pass another path to encode.tokenizer_file.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "comments")
 
@@ -199,6 +203,7 @@ def queries() -> dict:
         "majority_predictions": lambda s, d: models.predict_majority(labelled(s, d), labelled(s, d)).groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n")),
         "grid_log": grid_log,
         "truncation": lambda s, d: models.truncation(comments(s, d).select((X.word_count(F.col("text")) + 2).alias("n_tokens")), 64),
+        "encoded_lengths": lambda s, d: encode.encode(comments(s, d), encode.tokenizer_file(TOKENIZER), 64, 49406, 49407).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")),
         # evaluation
         "confusion_matrix": metrics_of(evaluate.confusion_matrix),
         "label_metrics": metrics_of(evaluate.label_metrics),

@@ -152,9 +152,13 @@ def oracles() -> dict[str, str]:
             both_ways AS (SELECT v, w FROM e UNION SELECT w, v FROM e UNION SELECT post_id, post_id FROM labelled),
             reach(id, root) AS (SELECT v, v FROM both_ways UNION SELECT b.w, r.root FROM reach r JOIN both_ways b ON b.v = r.id)
             SELECT id AS post_id, 'split_component_' || substr(sha256(min(root)), 1, 16) AS split_component FROM reach GROUP BY id""",
+        # candidates share one of their rarest tokens, which loses no pair of this similarity
         "jaccard_pairs": f"""WITH {ONE}, k AS (SELECT id, {text_key("c.t")} AS key FROM one), r AS (SELECT min(id) AS id, key, list_distinct(string_split(key, ' ')) AS w FROM k WHERE length(key) >= 12 GROUP BY key),
-            x AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n FROM r a JOIN r b ON a.id < b.id AND 5 * len(a.w) >= 3 * len(b.w) AND 5 * len(b.w) >= 3 * len(a.w)
-                  AND least(length(a.key), length(b.key)) >= 0.8 * greatest(length(a.key), length(b.key)))
+            t AS (SELECT id, len(w) AS n, unnest(w) AS token FROM r), f AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM t),
+            p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, token) <= n - ceil(n * 3 / 5) + 1),
+            cand AS (SELECT DISTINCT a.id AS i, b.id AS j FROM p a JOIN p b ON a.token = b.token AND a.id < b.id),
+            x AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n FROM cand JOIN r a ON a.id = i JOIN r b ON b.id = j
+                  WHERE least(length(a.key), length(b.key)) >= 0.8 * greatest(length(a.key), length(b.key)))
             SELECT id_a, id_b, round(c / (n - c), 9) AS jaccard FROM x WHERE 5 * c >= 3 * (n - c)""",
     }
     return out

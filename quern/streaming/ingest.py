@@ -100,6 +100,26 @@ def up_to_target(judged: DataFrame, target: int, have: int = 0) -> DataFrame:
     return seen.where(F.col("_before") + have < target).drop("_before")
 
 
+def after_checkpoint(rows: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The rows (file_key, row_number, sha256, ...) that come after each file's checkpoint (file_key, sha256, row_offset).
+
+    A file whose hash differs from that of its checkpoint was changed, which is an error.
+    """
+    marks = checkpoints.select("file_key", F.col("sha256").alias("_sha"), "row_offset")
+    changed = rows.select("file_key", "sha256").distinct().join(marks, "file_key").where("sha256 <> _sha")
+    if bad := changed.select("file_key").limit(5).collect():
+        raise ValueError(f"changed after they were imported: {[r[0] for r in bad]}")
+    joined = rows.join(marks, "file_key", "left").where(F.col("row_number") > F.coalesce("row_offset", F.lit(0)))
+    return joined.drop("_sha", "row_offset")
+
+
+def next_checkpoints(checkpoints: DataFrame, imported: DataFrame) -> DataFrame:
+    """The checkpoints after the import of rows (file_key, sha256, row_number)."""
+    new = imported.groupBy("file_key", "sha256").agg(F.max("row_number").alias("row_offset"))
+    both = checkpoints.select("file_key", "sha256", "row_offset").unionByName(new)
+    return both.groupBy("file_key", "sha256").agg(F.max("row_offset").alias("row_offset"))
+
+
 def import_batch(spark: SparkSession, rows: DataFrame, folder: str, batch: str) -> dict[str, int]:
     """Judges rows against the store in ``folder`` and appends the accepted, duplicate and rejected ones under the batch's name.
 
