@@ -15,6 +15,8 @@ from quern.workspace import Workspace
 # Shortest key, least ratio of lengths, least Jaccard similarity (a fraction) and least character ratio.
 LEAST_LENGTH, LEAST_LENGTH_RATIO, JACCARD_NUM, JACCARD_DEN, LEAST_RATIO = 12, 0.8, 3, 5, 0.9
 
+PAIR_KEYS_UP_TO = 100
+
 
 def duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(group_key, n, first_id, last_id) of the texts that occur more than once; the key is a digest of the text key."""
@@ -44,8 +46,9 @@ def jaccard_candidates(df: DataFrame, seq: str = "seq", id_col: str = "id", text
 
     Rows with one key are a class, of which the first by ``seq`` stands for all; keys of one class
     are never paired. Exact prefix filtering: the tokens of a key are ordered by document
-    frequency, and only the first ones are join keys; with a bound by the places of the common
-    token this loses no pair. Frequencies are of all rows. Pairs (a, b) have a before b by ``seq``.
+    frequency (of all rows), and only the first ones make join keys, which loses no pair. Pairs
+    of tokens are the keys up to PAIR_KEYS_UP_TO different tokens, as single ones are too frequent
+    in texts of one kind; for longer texts, which have rare tokens, single ones are. Pairs (a, b) have a before b by ``seq``.
     """
     work = work or Workspace(df.sparkSession, "near")
     keyed = df.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"), text_key(F.col(text_col)).alias("key")).where(F.length("key") >= LEAST_LENGTH)
@@ -55,18 +58,24 @@ def jaccard_candidates(df: DataFrame, seq: str = "seq", id_col: str = "id", text
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # ranks inside a text come from sorting its own tokens, so nothing else is gathered
     ordered = exploded.join(frequency, "token").groupBy("seq", "n", "len").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    # a pair shares a token of the longer text's first n - ceil(3n/5) + 1 and the shorter one's first
-    # n - ceil(3n/4) + 1, as 3/4 = 2t / (1 + t) of the shorter must be common for t = 3/5
-    common = 2 * JACCARD_NUM
-    probe = F.col("n") - F.ceil(F.col("n") * JACCARD_NUM / JACCARD_DEN) + 1
-    index = F.col("n") - F.ceil(F.col("n") * common / (JACCARD_NUM + JACCARD_DEN)) + 1
-    rare = ordered.select("seq", "n", "len", index.alias("index"), F.posexplode(F.slice("o", F.lit(1), probe.cast("int"))).alias("pos", "t"))
-    rare = work.save(rare.select("seq", "n", "len", "index", "pos", F.xxhash64("t.token").alias("token")))
-    x, y = rare.where("pos < index").drop("index").alias("x"), rare.drop("index").alias("y")
-    pairs = x.join(y, F.expr("x.token = y.token AND (x.n < y.n OR x.n = y.n AND x.seq < y.seq)"))
+    ordered = work.save(ordered.select("seq", "n", "len", F.transform("o", lambda t: F.xxhash64(t["token"])).alias("o")))
+    n, most = F.col("n"), F.lit(PAIR_KEYS_UP_TO)
+    # Of a pair of texts, the shorter x and the longer y, at least 3/5 of y's tokens and 3/4 = 2t / (1 + t)
+    # of x's are common; so the first n - that + k tokens of both have k in common.
+    def first(num: int, den: int, k: int):
+        return F.least(n, n - F.ceil(n * num / den) + k).cast("int")
+
+    def keys(num: int, den: int, pairs, singles):
+        two = F.slice("o", F.lit(1), first(num, den, 2))
+        joined = F.flatten(F.transform(two, lambda t, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda u: F.xxhash64(t, u))))
+        none = F.array().cast("array<bigint>")
+        both = F.when(pairs, F.when(n == 1, F.col("o")).otherwise(joined)).otherwise(none)
+        return ordered.select("seq", "n", "len", F.explode(F.concat(both, F.when(singles, F.slice("o", F.lit(1), first(num, den, 1))).otherwise(none))).alias("key"))
+
+    y = keys(JACCARD_NUM, JACCARD_DEN, n <= most, n > most).alias("y")
+    x = keys(2 * JACCARD_NUM, JACCARD_NUM + JACCARD_DEN, n <= most, n * JACCARD_DEN > most * JACCARD_NUM).alias("x")
+    pairs = x.join(y, F.expr("x.key = y.key AND (x.n < y.n OR x.n = y.n AND x.seq < y.seq)"))
     pairs = pairs.where(f"least(x.len, y.len) >= {LEAST_LENGTH_RATIO} * greatest(x.len, y.len) AND {JACCARD_DEN} * x.n >= {JACCARD_NUM} * y.n")
-    # at the first common token no more than the rest of either text can be common
-    pairs = pairs.where(f"{JACCARD_NUM + JACCARD_DEN} * least(x.n - x.pos, y.n - y.pos) >= {JACCARD_NUM} * (x.n + y.n)")
     pairs = pairs.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b")).distinct()
     left = classes.select(F.col("seq").alias("a"), F.col("id").alias("id_a"), F.col("key").alias("key_a"), F.col("tk").alias("tk_a"))
     right = classes.select(F.col("seq").alias("b"), F.col("id").alias("id_b"), F.col("key").alias("key_b"), F.col("tk").alias("tk_b"))
