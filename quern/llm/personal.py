@@ -334,9 +334,10 @@ class Tagger:
             d = int(tokens.doc[h])
             a = int(tokens.starts[h] - tokens.offset[h])
             b = int(tokens.starts[t] + tokens.lengths[t] - tokens.offset[t])
-            span = holds(KINDS[kind[h]], values[d], a, b)
-            if span:
-                out.append((d, *span, KINDS[kind[h]]))
+            k = KINDS[kind[h]]
+            span = holds(k, values[d], a, b)
+            spans = [span] if span else phones_within(values[d], a, b) if k == "phone" else []
+            out += [(d, *x, k) for x in spans]
         return out
 
 
@@ -359,6 +360,20 @@ def phone_digits(s: str) -> str:
     return "0" + out[2:] if out.startswith("84") and len(out) in (11, 12) else out
 
 
+def phones_within(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The numbers in a finding that holds several, or one and something else: runs of its words that pass the check."""
+    words = [(a + m.start(), a + m.end()) for m in re.finditer(r"\S*[^\s,.;:!?…]", text[a:b])]
+    out, i = [], 0
+    while i < len(words):
+        for j in range(i, min(i + 10, len(words))):
+            if span := holds("phone", text, words[i][0], words[j][1]):
+                out.append(span)
+                i = j
+                break
+        i += 1
+    return out
+
+
 def holds(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The exact check of a finding text[a:b]: its bounds if it is of the kind, else None."""
     s = text[a:b]

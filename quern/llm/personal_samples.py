@@ -143,7 +143,7 @@ class _Writer:
         nine, twelve = self.digits(9), "0" + self.digits(11)
         letters = "".join(self.pick("ABCDEGHIJKLMNQRSTUVWXYZ") for _ in range(2))
         y, four = r.randint(15, 26), self.digits(4)
-        code = self.pick([f"SV{y}{letters}{four}", f"SV{y}-{letters}-{four}", f"sv{y}{letters.lower()}{four}", f"SV{y}.{letters}.{four}", f"B{y}DCCN{self.digits(3)}"])
+        code = self.pick([f"SV{y}{letters}{four}", f"SV{y}-{letters}-{four}", f"sv{y}{letters.lower()}{four}", f"SV{y}.{letters}.{four}", f"B{y}KHMT{self.digits(3)}"])
         before, v = self.pick([
             ("cmnd ", nine), ("CMND: ", f"{nine[:3]}.{nine[3:6]}.{nine[6:]}"), ("cccd ", twelve), ("số định danh ", twelve), ("căn cước số ", " ".join(twelve[i : i + 3] for i in (0, 3, 6, 9))),
             ("mssv ", code), ("mã sv ", code), ("", code), ("mã sinh viên ", code), ("chứng minh thư ", f"{nine[:3]} {nine[3:6]} {nine[6:]}"), ("CCCD: ", f"{twelve[:4]}.{twelve[4:8]}.{twelve[8:]}"),
