@@ -195,3 +195,9 @@ def test_masked(spark):
 @pytest.mark.parametrize("s,digits", [("o54o89o553", "054089055" + "3"), ("+84 547 259 266", "0547259266"), ("không chín năm chín sáu một bốn năm năm bốn", "0959614554"), ("(+84) 952-829023", "0952829023"), ("0954 abc", "")])
 def test_phone_digits(s, digits):
     assert personal.phone_digits(s) == (digits if s[0] != "o" else "054089o553".replace("o", "0"))
+
+
+def test_several_numbers_in_one_finding():
+    text = "alo số 84548607580 0545940708, mã 4487 o954105465"
+    spans = personal.phones_within(text, 7, len(text))
+    assert [text[a:b] for a, b in spans] == ["84548607580", "0545940708", "o954105465"]
