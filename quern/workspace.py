@@ -50,6 +50,24 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _made[app]
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, wherever the driver was started; once a session."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quern-zip-')}/quern", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(made)  # the driver serves the file to the executors
+    _shipped[app] = made
+    atexit.register(shutil.rmtree, Path(made).parent, ignore_errors=True)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
