@@ -28,11 +28,16 @@ def one_per_id(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.min_by(F.struct("post_id", "text", "label", "source_id"), F.struct("loaded_at", "source_id", "collected_at")).alias("c")).select("id", "c.*")
 
 
+def with_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All comments, one for each id, with a clean post; where there is none, post:<id> if labelled, else ''."""
+    post = F.lower(X.py_strip(F.coalesce(F.col("post_id"), F.lit(""))))
+    own = (post == "") & F.col("label").isin(*LABELS)
+    return one_per_id(comments(spark, sf_dir)).withColumn("post_id", F.when(own, F.concat(F.lit("post:"), "id")).otherwise(post))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled comments, one for each id, with a clean post (post:<id> where there is none)."""
-    rows = one_per_id(comments(spark, sf_dir)).where(F.col("label").isin(*LABELS))
-    post = F.lower(X.py_strip(F.coalesce(F.col("post_id"), F.lit(""))))
-    return rows.withColumn("post_id", F.when(post == "", F.concat(F.lit("post:"), "id")).otherwise(post))
+    return with_posts(spark, sf_dir).where(F.col("label").isin(*LABELS))
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +112,8 @@ def clean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    known = rows.select("id")
-    pairs = clean_pairs(spark, sf_dir)
-    pairs = pairs.join(known.withColumnRenamed("id", "id_a"), "id_a", "left_semi").join(known.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
-    return graph.connected_posts(rows, rows, pairs)
+    """The posts of labelled comments; near duplicates link them through any comment, labelled or not."""
+    return graph.connected_posts(labelled(spark, sf_dir), with_posts(spark, sf_dir), clean_pairs(spark, sf_dir))
 
 
 def term_totals(spark: SparkSession, sf_dir: str, terms: Column) -> DataFrame:
