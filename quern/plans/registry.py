@@ -86,7 +86,7 @@ def nb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def svm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, held, fm, x = trained(spark, sf_dir, "tfidf")
-    svm = models.fit_with_retry(train, x, fm.vocabulary, c=1.0, tol=1e-2)
+    svm = models.fit_with_retry(train, x, fm.vocabulary, c=1.0)
     return svm.predict(held, fm.transform(held)).join(held.select("id", "label"), "id").select("id", F.col("label").alias("true_label"), "predicted_label")
 
 
