@@ -1,0 +1,27 @@
+import pytest
+
+from quern.labels import LABELS
+from quern.operators import split
+
+
+def grouped(spark, posts):
+    return spark.createDataFrame([(f"{p}-{x}", f"{p:03d}", f"t {p} {x}", x) for p in range(posts) for x in LABELS], "id string, post_id string, text string, label string")
+
+
+def test_more_groups_than_the_search_takes(spark, monkeypatch):
+    monkeypatch.setattr(split, "MOST_GROUPS", 10)
+    df = grouped(spark, 400)
+    a, b = (split.grouped_split(df, seed=7) for _ in range(2))
+    assert sorted(a.collect()) == sorted(b.collect()) and a.columns == ["post_id", "id", "text", "label", "split"]
+    assert split.broken_groups(split.check_disjoint(a), "post_id").count() == 0
+    n = {r.split: r["count"] for r in a.groupBy("split").count().collect()}
+    assert sum(n.values()) == df.count() == 1200
+    assert all(abs(n[s] / 1200 - r) < 0.05 for s, r in zip(split.SPLIT_NAMES, split.RATIOS))
+    # a label in three groups only: later passes find an arrangement that has it in all splits
+    rare = df.where("label <> 'neutral' OR post_id < '003'")
+    assert split.missing_labels(split.grouped_split(rare, seed=1)).count() == 0
+    for bad in (df.where("label <> 'neutral' OR post_id < '002'"), df.limit(0)):
+        with pytest.raises(ValueError):
+            split.grouped_split(bad)
+    with pytest.raises(ValueError):
+        split.grouped_split(df, ratios=(0.5, 0.5, 0.5))
