@@ -13,11 +13,6 @@ from collections.abc import Sequence
 import numpy as np
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
-
-
 class Crf:
     def __init__(self, n_features: int, n_labels: int):
         self.emit = np.zeros((n_features + 1, n_labels), dtype=np.float32)  # the last row, always 0, is the padding
@@ -25,43 +20,44 @@ class Crf:
         self.start = np.zeros(n_labels, dtype=np.float32)
 
     def gradient(self, feats: np.ndarray, labels: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood and its gradients for padded sequences: feats (B, T, F), labels (B, T)."""
+        """Log-likelihood and its gradients for padded sequences: feats (B, T, F), labels (B, T).
+
+        Forward and backward sums are kept as probabilities that are scaled at every step, so a
+        step is one product with the exponentiated transitions.
+        """
         b, t, _ = feats.shape
         k = self.trans.shape[0]
-        scores = self.emit[feats].sum(axis=2)
+        scores = self.emit[feats].sum(axis=2).astype(np.float64)
         mask = np.arange(t)[None, :] < lengths[:, None]
-        alpha = np.empty((t, b, k), dtype=np.float32)
-        alpha[0] = self.start + scores[:, 0]
-        for i in range(1, t):
-            step = _logsumexp(alpha[i - 1][:, :, None] + self.trans[None], 1) + scores[:, i]
-            alpha[i] = np.where(mask[:, i, None], step, alpha[i - 1])
-        z = _logsumexp(alpha[-1], 1)
-        beta = np.zeros((t, b, k), dtype=np.float32)
+        top = scores.max(axis=2, keepdims=True)
+        e = np.where(mask[:, :, None], np.exp(scores - top), 1.0)
+        step = np.exp(self.trans.astype(np.float64))
+        alpha, beta, scale = np.empty((t, b, k)), np.ones((t, b, k)), np.ones((t, b))
+        now = np.exp(self.start.astype(np.float64)) * e[:, 0]
+        for i in range(t):
+            if i:
+                on = mask[:, i, None]
+                now = np.where(on, (alpha[i - 1] @ step) * e[:, i], alpha[i - 1])
+            scale[i] = now.sum(axis=1)
+            alpha[i] = now / scale[i][:, None]
         for i in range(t - 2, -1, -1):
-            step = _logsumexp(self.trans[None] + (scores[:, i + 1] + beta[i + 1])[:, None, :], 2)
-            beta[i] = np.where(mask[:, i + 1, None], step, beta[i + 1])
-        prob = np.exp(alpha + beta - z[None, :, None]).transpose(1, 0, 2)
-        gold = np.zeros_like(prob)
+            back = (e[:, i + 1] * beta[i + 1]) @ step.T / scale[i + 1][:, None]
+            beta[i] = np.where(mask[:, i + 1, None], back, beta[i + 1])
+        prob = (alpha * beta).transpose(1, 0, 2)
         rows, cols = np.nonzero(mask)
-        gold[rows, cols, labels[rows, cols]] = 1
-        delta = (gold - prob)[rows, cols]
-        g_emit = np.zeros_like(self.emit)
+        gold = labels[rows, cols]
+        delta = -prob[rows, cols]
+        delta[np.arange(len(gold)), gold] += 1
         flat = feats[rows, cols]
-        order = np.argsort(flat.ravel(), kind="stable")
-        ids = flat.ravel()[order]
-        heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        g_emit[ids[heads]] = np.add.reduceat(delta[order // flat.shape[1]], heads, axis=0)
-        g_emit[-1] = 0
-        g_trans = np.zeros_like(self.trans)
-        value = float((self.start[labels[:, 0]]).sum() + scores[rows, cols, labels[rows, cols]].sum() - z.sum())
-        for i in range(1, t):
-            on = mask[:, i]
-            if on.any():
-                pair = np.exp(alpha[i - 1][on][:, :, None] + self.trans[None] + (scores[on, i] + beta[i][on])[:, None, :] - z[on, None, None])
-                g_trans -= pair.sum(axis=0)
-                np.add.at(g_trans, (labels[on, i - 1], labels[on, i]), 1)
-                value += float(self.trans[labels[on, i - 1], labels[on, i]].sum())
+        real = flat != self.emit.shape[0] - 1
+        ids, at = flat[real], np.nonzero(real)[0]
+        g_emit = np.stack([np.bincount(ids, weights=delta[at, j], minlength=self.emit.shape[0]) for j in range(k)], axis=1)
+        inner = mask[:, 1:]
+        x, y = alpha[:-1].transpose(1, 0, 2)[inner], (e[:, 1:] * beta[1:].transpose(1, 0, 2) / scale[1:].T[:, :, None])[inner]
+        pairs = np.bincount(labels[:, :-1][inner] * k + labels[:, 1:][inner], minlength=k * k).reshape(k, k)
+        g_trans = pairs - step * (x.T @ y)
         g_start = np.bincount(labels[:, 0], minlength=k) - prob[:, 0].sum(axis=0)
+        value = float(self.start[labels[:, 0]].sum() + scores[rows, cols, gold].sum() + (pairs * self.trans).sum() - np.log(scale).sum() - top[:, :, 0][mask].sum())
         return value, g_emit, g_trans, g_start
 
     def fit(self, sequences: Sequence[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float = 0.08, l2: float = 1e-4, batch: int = 64, seed: int = 0) -> Crf:

@@ -1,14 +1,18 @@
 """Problem 6: personal data inside free text.
 
-A linear-chain CRF over word shapes labels the tokens of every text. Texts are cut into tokens in
-numpy, a whole Arrow batch at a time; the label scores of a token are sums over the types of the
-token and its neighbours, so features are only computed once per type. Texts that cannot hold
-anything (no token comes near to beating "outside") are told by a bound, all others are decoded
-by Viterbi in batches. A check of each finding's digits and signs follows.
+A linear-chain CRF over word shapes labels the tokens of every text. It is trained in a task on a
+small labelled table whose words are made by rule (:mod:`quern.llm.personal_samples`), saved in
+the shared folder and loaded from there. Texts are cut into tokens in numpy, a whole Arrow batch
+at a time; the label scores of a token are sums over the types of the token and its neighbours,
+so features are only computed once per type. Texts that cannot hold anything (no token comes near
+to beating "outside") are told by a bound, all others are decoded by Viterbi in batches. A check
+of each finding's digits, signs and neighbours follows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -16,19 +20,23 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.crf import Crf
-from quern.llm.personal_samples import DIGITS, FAMILY, GIVEN, KINDS, bare, labelled_table
+from quern.llm.personal_samples import DIGITS, FAMILY, GIVEN, KINDS, THINGS, TITLES, bare, labelled_table
 from quern.llm.tokens import code_points, run_hashes
+from quern.sources.tables import exists
+from quern.workspace import shared_folder
 
 LABELS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 # The labelled table: number of sentences, and the rounds over it. Both bound the fitting.
-SAMPLES, EPOCHS, SEED = 2400, 9, 17
-# Added to the scores of a kind's labels: where an exact check follows, a missed finding costs more.
-LEAN = {"email": 2.0, "phone": 2.5, "id_number": 2.5, "address": 1.0, "name": 0.3}
+SAMPLES, EPOCHS, SEED = 3000, 8, 17
+# Features that occur less often count as unknown words; known words are hidden at this rate in training.
+SELDOM, HIDDEN = 4, 0.1
+# Added to the scores of a kind's labels: an exact check follows, so a missed finding costs more.
+LEAN = {"email": 2.0, "phone": 2.5, "id_number": 2.5, "address": 1.5, "name": 2.2}
 REACH = 3  # features look at up to so many tokens on either side
 LETTER, DIGIT, SPACE, SIGN = 0, 1, 2, 3
 _FAMILY, _GIVEN = ({w.lower() for w in ws} for ws in (FAMILY, GIVEN))
@@ -133,42 +141,65 @@ def _runs(member: np.ndarray, joined: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """The CRF with the feature ids of the token types it has met."""
+    """The CRF with the feature ids of the token types it has met; made by :meth:`fit` or from a saved state."""
 
-    def __init__(self, samples: int = SAMPLES, epochs: int = EPOCHS, seed: int = SEED):
-        self.ids: dict[str, int] = {}
+    def __init__(self, known: set[str], names: list[str], bases: np.ndarray, crf: Crf):
+        self.known, self.bases, self.crf = known, bases, crf
+        self.ids = {f: n for n, f in enumerate(names)}
         self.types: dict[int, int] = {}
         self.feats: list[list[str]] = []
         self.shapes: list[int] = []
         self.only_o: list[bool] = []
+        # label scores of the types met, grown by doubling
+        self.scores = np.zeros((2 * REACH + 1, 4096, len(LABELS)), dtype=np.float32)
+        self.scored = 0
+        self.extras = [crf.emit[b : b + n] for b, n in zip(bases, EXTRAS)]
+        self.end = np.array([crf.emit[self.ids[f"{o}|end"]] for o in range(-REACH, REACH + 1)]) if names else None
+
+    @classmethod
+    def fit(cls, samples: int = SAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Tagger:
+        """Trains on ``samples`` sentences of the labelled table, ``epochs`` times over."""
+        new = cls(set(), [], np.zeros(len(EXTRAS), dtype=np.int64), Crf(int(sum(EXTRAS)), len(LABELS)))
         table = labelled_table(samples, seed)
         tokens = Tokens(pa.array([t for t, _ in table]))
-        types = self._types(tokens)
-        # words that occur once stand for the unknown ones
+        types = new._types(tokens)
+        # words that occur seldom stand for the unknown ones
         seen: dict[str, int] = {}
         for t in types:
-            for f in self.feats[t]:
+            for f in new.feats[t]:
                 seen[f] = seen.get(f, 0) + 1
-        self.known = {f for f, n in seen.items() if n >= 3 or f[1] != "="}
-        names = [f"{o}|{f}" for o in range(-REACH, REACH + 1) for f in sorted(self.known | {"w=?", "end"})]
-        self.bases = np.cumsum([len(names), *EXTRAS])[:-1]
+        new.known = {f for f, n in seen.items() if n >= SELDOM or f[1] != "="}
+        names = [f"{o}|{f}" for o in range(-REACH, REACH + 1) for f in sorted(new.known | {"w=?", "end"})]
+        new.bases = np.cumsum([len(names), *EXTRAS])[:-1]
         names += [f"{p}:{i}" for p, size in enumerate(EXTRAS) for i in range(size)]
-        self.ids = {f: n for n, f in enumerate(names)}
-        self.crf = Crf(len(names), len(LABELS))
+        new.ids = {f: n for n, f in enumerate(names)}
+        crf = Crf(len(names), len(LABELS))
         pad = len(names)
-        x = self._rows(tokens, types)
-        y = self._gold(tokens, [s for _, s in table])
+        x = new._rows(tokens, types)
+        y = new._gold(tokens, [s for _, s in table])
         cuts = np.searchsorted(tokens.doc, np.arange(tokens.n_docs + 1))
         # a share of the known words is hidden in training, so that neighbours and shapes must do
         rng = np.random.default_rng(seed)
         word = np.array([bool(re.match(r"-?\d\|[wp]=", f)) and not f.endswith("w=?") for f in names] + [False])
-        hide = word[x] & (rng.random(x.shape) < 0.08)
-        x = np.where(hide, pad, x)
-        self.crf.fit([(x[a:b], y[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a], epochs, seed=seed)
-        self.crf.emit = self.crf.emit.astype(np.float32)
-        self.scores = np.zeros((2 * REACH + 1, 0, len(LABELS)), dtype=np.float32)
-        self.extras = [self.crf.emit[b : b + n] for b, n in zip(self.bases, EXTRAS)]
-        self.end = np.array([self.crf.emit[self.ids[f"{o}|end"]] for o in range(-REACH, REACH + 1)])
+        x = np.where(word[x] & (rng.random(x.shape) < HIDDEN), pad, x)
+        crf.fit([(x[a:b], y[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a], epochs, seed=seed)
+        crf.emit = crf.emit.astype(np.float32)
+        return cls(new.known, names, new.bases, crf)
+
+    def state(self) -> bytes:
+        """The fitted tagger as bytes (no code in it)."""
+        out = io.BytesIO()
+        text = "\x00".join(["\x01".join(sorted(self.known)), "\x01".join(self.ids)])
+        np.savez_compressed(out, text=np.frombuffer(text.encode(), np.uint8), bases=self.bases, emit=self.crf.emit, trans=self.crf.trans, start=self.crf.start)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, state: bytes) -> Tagger:
+        z = np.load(io.BytesIO(state), allow_pickle=False)
+        known, names = (part.split("\x01") for part in z["text"].tobytes().decode().split("\x00"))
+        crf = Crf(len(names), len(LABELS))
+        crf.emit, crf.trans, crf.start = z["emit"], z["trans"], z["start"]
+        return cls(set(known), names, z["bases"], crf)
 
     def _types(self, tokens: Tokens) -> np.ndarray:
         """The type number of every token; new types get their features."""
@@ -178,7 +209,7 @@ class Tagger:
             self.feats.clear()
             self.shapes.clear()
             self.only_o.clear()
-            self.scores = np.zeros((2 * REACH + 1, 0, len(LABELS)), dtype=np.float32)
+            self.scored = 0
         out = np.empty(len(keys), dtype=np.int64)
         for n, (k, i) in enumerate(zip(keys.tolist(), first.tolist())):
             t = self.types.get(k)
@@ -271,15 +302,18 @@ class Tagger:
 
     def emissions(self, tokens: Tokens) -> np.ndarray:
         types = self._types(tokens)
-        have = self.scores.shape[1]
-        if len(self.feats) > have:
-            new = np.zeros((2 * REACH + 1, len(self.feats) - have, len(LABELS)), dtype=np.float32)
-            for t, f in enumerate(self.feats[have:]):
-                named = self._named(f)
+        if len(self.feats) > self.scores.shape[1]:
+            more = np.zeros((2 * REACH + 1, 2 * len(self.feats), len(LABELS)), dtype=np.float32)
+            more[:, : self.scored] = self.scores[:, : self.scored]
+            self.scores = more
+        if len(self.feats) > self.scored:
+            lean = np.array([0.0, *(LEAN[k] for k in KINDS for _ in "BI")], dtype=np.float32)
+            for t in range(self.scored, len(self.feats)):
+                named = self._named(self.feats[t])
                 for k, o in enumerate(range(-REACH, REACH + 1)):
-                    new[k, t] = self.crf.emit[[self.ids[f"{o}|{x}"] for x in named]].sum(axis=0)
-            new[REACH] += np.array([0.0, *(LEAN[k] for k in KINDS for _ in "BI")], dtype=np.float32)
-            self.scores = np.concatenate([self.scores, new], axis=1)
+                    self.scores[k, t] = self.crf.emit[[self.ids[f"{o}|{x}"] for x in named]].sum(axis=0)
+                self.scores[REACH, t] += lean
+            self.scored = len(self.feats)
         out = self.scores[REACH][types]
         for k, o in enumerate(range(-REACH, REACH + 1)):
             if o:
@@ -344,6 +378,9 @@ class Tagger:
 _AT = re.compile(r"@|\(\s*at\s*\)|\[\s*at\s*\]|\ba\s+c[òo]ng\b|\bat\b", re.I)
 _DOT = re.compile(r"\.|\bdot\b|\bch[ấa]m\b", re.I)
 _PLACE = re.compile(r"\b(?:đường|duong|phố|pho|ngõ|ngo|ngách|ngach|hẻm|hem|kiệt|phường|phuong|quận|quan|tổ|to|thôn|thon|xã|ấp|đ|p|d)\b", re.I)
+_BEFORE_NAME = re.compile(rf"(?:^|[^\w])(?:(?:{'|'.join(sorted({*TITLES, *map(bare, TITLES)}))}|chủ nhà|chu nha|giảng viên|giang vien|(?:tên|ten|mình|minh|tôi|toi|em)\s+(?:là|la|tên|ten)|gửi|gui|nhắn|nhan|nhờ|nho|cảm ơn|cam on)\s+|(?:tên|ten|người nhận|nguoi nhan)[\s:]+)$", re.I)
+_BEFORE_THING = re.compile(rf"(?:^|[^\w])(?:{'|'.join(sorted({*THINGS, *map(bare, THINGS)}, key=len, reverse=True))})\s+$", re.I)
+_AFTER_NAME = re.compile(r"\s+(?:ơi|oi)\b", re.I)
 _CODE = re.compile(r"[a-z]{1,2}\d{2}[-. ]?[a-z]{2,5}[-. ]?\d{3,5}", re.I)
 
 
@@ -398,35 +435,69 @@ def holds(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     words = re.findall(r"[^\W\d_]+", s.lower())
     if not 2 <= len(words) <= 6 or re.search(r"\d", s):
         return None
-    # written small, the first word must be a family name; accents only count if there are any
+    # written small, it must be addressed, and the first word must be a family name; accents only count if there are any
+    if s.islower() and not (_BEFORE_NAME.search(text[max(0, a - 24) : a]) or _AFTER_NAME.match(text[b : b + 8])):
+        return None
+    before = _BEFORE_THING.search(text[max(0, a - 24) : a])
+    if before and not _BEFORE_NAME.search(text[max(0, a - 24) : a]):  # a shop, club or place
+        return None
     plain = bare(s) == s
     return (a, b) if words[0] in _FAMILY or plain and words[0] in _FAMILY_BARE or not plain and s[0].isupper() and words[0] not in _FAMILY_BARE and s.istitle() else None
 
 
-@cache
-def tagger() -> Tagger:
-    """The trained tagger, made once per process from the labelled table."""
-    return Tagger()
+def fitted(spark: SparkSession, path: str | None = None, samples: int = SAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> bytes:
+    """The state of the tagger saved at ``path``; if there is none yet it is trained in a task and saved.
+
+    By default the path lies in the shared folder and is named after the settings and the
+    labelled table, so all processes that share the folder train once.
+    """
+    if path is None:
+        made = hashlib.sha256(repr((samples, epochs, seed, SELDOM, HIDDEN, REACH, labelled_table(20, seed))).encode()).hexdigest()[:16]
+        path = f"{shared_folder(spark)}/quern-tagger-{made}"
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([Tagger.fit(samples, epochs, seed).state()], pa.binary())], ["state"])
+
+    if not exists(spark, f"{path}/_SUCCESS"):
+        try:
+            spark.range(1, numPartitions=1).mapInArrow(train, "state binary").write.parquet(path)
+        except Exception:  # another process may have saved it meanwhile
+            if not exists(spark, f"{path}/_SUCCESS"):
+                raise
+    return spark.read.schema("state binary").parquet(path).first()[0]  # one row; its size is bound by the labelled table
+
+
+_taggers: dict[str, Tagger] = {}
+
+
+def loaded(state: bytes) -> Tagger:
+    """The tagger of a state, made once per process."""
+    key = hashlib.sha256(state).hexdigest()
+    if key not in _taggers:
+        _taggers[key] = Tagger.load(state)
+    return _taggers[key]
 
 
-def _trained(df: DataFrame):
-    """The driver's tagger as a broadcast value; its size is bound by the labelled table."""
-    return df.sparkSession.sparkContext.broadcast(tagger())
+def _trained(df: DataFrame, path: str | None):
+    return df.sparkSession.sparkContext.broadcast(fitted(df.sparkSession, path))
 
 
-def personal_kinds(records: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def personal_kinds(records: DataFrame, id_col: str = "id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, kind): the kinds of personal data in the texts of each id, each once.
 
-    Rows without id or text give nothing; of rows with one id and one text one is searched.
+    Rows without id or text give nothing. ``model`` is the folder of a saved tagger (see
+    :func:`fitted`).
     """
-    sent = _trained(records)
+    sent = _trained(records, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        tagger = loaded(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 s = b.slice(at, 2048)
-                hits = sorted({(d, k) for d, _, _, k in model.find(s.column(1))})
+                hits = sorted({(d, k) for d, _, _, k in tagger.find(s.column(1))})
                 if hits:
                     yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array([d for d, _ in hits])), pa.array([k for _, k in hits])], ["id", "kind"])
 
@@ -434,18 +505,18 @@ def personal_kinds(records: DataFrame, id_col: str = "id", text_col: str = "text
     return src.mapInArrow(run, "id string, kind string").distinct()
 
 
-def masked(records: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def masked(records: DataFrame, id_col: str = "id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, masked, n_found): every text with its personal data replaced by placeholders, all else unchanged; one row per input row."""
-    sent = _trained(records)
+    sent = _trained(records, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        tagger = loaded(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 s = b.slice(at, 2048)
                 texts = s.column(1).to_pylist()
                 found = np.zeros(len(texts), dtype=np.int32)
-                for d, a, e, kind in reversed(model.find(s.column(1))):
+                for d, a, e, kind in reversed(tagger.find(s.column(1))):
                     texts[d] = texts[d][:a] + PLACEHOLDERS[kind] + texts[d][e:]
                     found[d] += 1
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(texts, pa.string()), pa.array(found)], ["id", "masked", "n_found"])

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import leakage, lookalike, mixing, overlap, personal
-from quern.llm.personal_samples import KINDS, labelled_table
+from quern.llm.crf import Crf
+from quern.llm.personal_samples import COMMON, CUES, FAMILY, KINDS, MIDDLE, THINGS, TITLES, bare, labelled_table, syllables
 from quern.llm.tokens import split_words
 
 
@@ -162,27 +163,62 @@ def test_token_counts_match_the_tokenizer(spark):
 
 
 @pytest.fixture(scope="module")
-def tagger():
-    return personal.tagger()
+def tagger(spark):
+    return personal.loaded(personal.fitted(spark))
+
+
+def test_training_and_held_out_words_are_disjoint():
+    words = [{w for t, _ in labelled_table(300, 5, held) for w in t.split()} for held in (False, True)]
+    assert not set(syllables(False)) & set(syllables(True))
+    shared = {w.lower() for w in words[0] & words[1] if w.isalpha()}
+    closed = {w.lower() for x in (FAMILY, MIDDLE, COMMON, CUES, TITLES, *(t.split() for t in THINGS)) for w in x}
+    # what both halves share beside the closed classes are the words before codes and numbers
+    assert len(shared - closed - {bare(c) for c in closed}) < 250
+
+
+def test_crf_gradient():
+    rng = np.random.default_rng(0)
+    crf = Crf(6, 3)
+    crf.emit[:-1] = rng.normal(size=(6, 3))
+    crf.trans[:], crf.start[:] = rng.normal(size=(3, 3)), rng.normal(size=3)
+    feats, labels, lengths = rng.integers(0, 7, (2, 4, 2)), rng.integers(0, 3, (2, 4)), np.array([4, 3])
+    value, g_emit, g_trans, g_start = crf.gradient(feats, labels, lengths)
+    assert value < 0
+    for param, grad in ((crf.emit, g_emit), (crf.trans, g_trans), (crf.start, g_start)):
+        at = (0,) * param.ndim
+        param[at] += 1e-2
+        up = crf.gradient(feats, labels, lengths)[0]
+        param[at] -= 2e-2
+        down = crf.gradient(feats, labels, lengths)[0]
+        param[at] += 1e-2
+        assert abs((up - down) / 2e-2 - grad[at]) < 1e-2
+
+
+def test_saved_tagger_is_the_same_and_found_again(spark, tagger, tmp_path):
+    texts = pa.array([t for t, _ in labelled_table(60, 9)])
+    assert personal.Tagger.load(tagger.state()).find(texts) == tagger.find(texts)
+    path = f"file://{tmp_path}/tagger"
+    small = personal.fitted(spark, path, samples=60, epochs=1)
+    assert personal.fitted(spark, path) == small  # what is saved is not trained again
 
 
 def test_held_out_accuracy(tagger):
-    held = labelled_table(400, seed=4242)
+    held = labelled_table(800, seed=4242, held=True)
     found = {(d, k) for d, _, _, k in tagger.find(pa.array([t for t, _ in held]))}
     want = {(d, k) for d, (_, s) in enumerate(held) for _, _, k in s}
     for kind in KINDS:
         f, w = ({x for x in s if x[1] == kind} for s in (found, want))
-        assert len(f & w) / len(w) > 0.95, kind
-        assert len(f & w) / len(f) > 0.97, kind
+        assert len(f & w) / len(w) > 0.93, kind
+        assert len(f & w) / len(f) > 0.93, kind
 
 
 def test_no_cases(tagger):
-    texts = ["mã giao dịch 256033093835884", "đơn hàng #45207833", "xem https://tin-9.example/bai/62885476", "@lop.2k", "giá 25.250.000đ", "tài liệu v6.6.46", "ngày 12-08-2026", "lớp D21-34, phòng C4-126", "ngõ nào gần nhất", "nghe quán Thạch Mềm kể căng tin đắt mà dở", "mã hồ sơ 2061488220"]
+    texts = ["mã giao dịch 256033093835884", "đơn hàng #45207833", "xem https://tin-9.example/bai/62885476", "@lop.2k", "giá 25.250.000đ", "tài liệu v6.6.46", "ngày 12-08-2026", "lớp D21-34, phòng C4-126", "ngõ nào gần nhất", "hôm qua ghé quán Hoàng Lan ăn trưa", "mã hồ sơ 2061488220"]
     assert tagger.find(pa.array(texts)) == []
 
 
 def test_masked(spark):
-    data = [("1", "gọi 0954 612 596 gặp mình, mail mình lua_may@mail.example.com nhé"), ("2", None), ("3", ""), ("4", "hay quá 😊"), (None, "x"), ("5", "hay quá " * 20_000 + "sđt 0954612596")]
+    data = [("1", "gọi 0954 612 596 gặp mình, mail mình bich.thuy@example.com nhé"), ("2", None), ("3", ""), ("4", "hay quá 😊"), (None, "x"), ("5", "hay quá " * 20_000 + "sđt 0954612596")]
     df = spark.createDataFrame([(*r, "z") for r in data], "id string, text string, masked string")
     out = {r.id: r.masked for r in personal.masked(df).collect()}
     assert out["1"] == "gọi [PHONE] gặp mình, mail mình [EMAIL] nhé"
