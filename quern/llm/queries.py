@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.llm import consensus, content, groups, leakage, lookalike, mixing, overlap, personal, splits
-from quern.workspace import table
+from quern.labels import LABELS
+from quern.workspace import Workspace, table
 
 
 def queries() -> dict:
@@ -17,6 +18,8 @@ def queries() -> dict:
         "p3_found": lambda s, d: splits.broken_posts(table(s, d, "split_groups")),
         "p3_splits": lambda s, d: splits.grouped_splits(table(s, d, "comments")),
         "p3_shares": _split_shares,
+        "p3_content_splits": _content_splits,
+        "p3_checks": _split_checks,
         "p4_found": lambda s, d: consensus.outvoted(table(s, d, "annotations")),
         "p4_consensus": lambda s, d: consensus.discover(table(s, d, "annotations")).items,
         "p4_reviewers": lambda s, d: consensus.discover(table(s, d, "annotations")).reviewers,
@@ -28,6 +31,7 @@ def queries() -> dict:
         "p8_passages": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_clean_documents": _clean_documents,
         "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
+        "p9_checks": lambda s, d: mixing.broken_rules(*mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))),
         "p9_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
         "p10_found": lambda s, d: lookalike.alike_pairs(table(s, d, "documents")),
         "p10_forms": lambda s, d: lookalike.one_form(table(s, d, "documents")),
@@ -42,6 +46,27 @@ def _split_shares(spark, sf_dir):
     return per.select("split", "label", "n_records", (F.col("n_records") / F.lit(total)).alias("share"))
 
 
+def _content_splits(spark, sf_dir):
+    """Splits that keep posts and, across posts, equal contents together: two entities a record."""
+    post, content = splits.post_key(F.col("post_id")), splits.content_key(F.col("text"))
+    return splits.grouped_splits(table(spark, sf_dir, "comments"), keys=[post, content])
+
+
+def _split_checks(spark, sf_dir):
+    """(rule, n_broken) over p3_content_splits: posts and contents in two splits, splits without a label, shares off by more than the balance."""
+    comments = table(spark, sf_dir, "comments")
+    rows = Workspace(spark, "checks").save(_content_splits(spark, sf_dir))
+    keyed = comments.select("id", splits.post_key(F.col("post_id")).alias("post"), splits.content_key(F.col("text")).alias("content")).join(rows.select("id", "split"), "id")
+    apart = [keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo < hi").select(F.lit(f"{k}_in_two_splits").alias("rule")) for k in ("post", "content")]
+    held = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k"))
+    total = F.lit(rows.count())
+    want = F.create_map(*[F.lit(x) for kv in splits.SPLITS for x in kv])
+    found = apart[0].unionByName(apart[1]).unionByName(held.where(F.col("k") < len(LABELS)).select(F.lit("label_missing").alias("rule")))
+    found = found.unionByName(held.where(F.abs(F.col("n") / total - F.try_element_at(want, F.col("split"))) > splits.BALANCE).select(F.lit("share_off").alias("rule")))
+    names = spark.createDataFrame([(x,) for x in ("post_in_two_splits", "content_in_two_splits", "label_missing", "share_off")], "rule string")
+    return names.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n_broken")), "rule", "left").na.fill(0, ["n_broken"])
+
+
 def _overlap_report(spark, sf_dir):
     sides, comments = table(spark, sf_dir, "split_groups"), table(spark, sf_dir, "comments")
     return overlap.overlap_report(overlap.split_overlaps(sides, comments), sides, comments)
