@@ -39,6 +39,14 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, edges.a == F.col("g"), "left_anti").join(gone, edges.b == F.col("g"), "left_anti")
 
 
+def _doubled(arcs: DataFrame) -> DataFrame:
+    """The arcs with their pointers doubled; lower tells whether the smallest vertex on the way fell."""
+    nxt = arcs.select(F.col("s").alias("nt"), F.col("t").alias("o"), F.col("nt").alias("nt2"), F.col("o").alias("o2"), F.col("rank").alias("rank2"), F.col("least").alias("least2"))
+    on = arcs.where("o IS NOT NULL").join(nxt, ["nt", "o"])
+    stepped = on.select("s", "t", F.col("nt2").alias("nt"), F.col("o2").alias("o"), (F.col("rank") + F.col("rank2")).alias("rank"), F.least("least", "least2").alias("least"), (F.col("lower") | (F.col("least2") < F.col("least"))).alias("lower"))
+    return stepped.unionByName(arcs.where("o IS NULL"))
+
+
 def _rank_chains(work: Workspace, chain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointer doubling over the arcs of all chains of vertices of degree two.
 
@@ -58,14 +66,13 @@ def _rank_chains(work: Workspace, chain: DataFrame) -> tuple[DataFrame, DataFram
         F.lit(1).cast("bigint").alias("rank"),
         F.least("v", "t").alias("least"),
     )
+    arcs = _doubled(arcs.withColumn("lower", F.lit(False)))
     arcs, seen = work.save_counted(arcs, open=F.count_if(F.col("o").isNotNull()))
     still = seen["open"]
     while still:
-        nxt = arcs.select(F.col("s").alias("nt"), F.col("t").alias("o"), F.col("nt").alias("nt2"), F.col("o").alias("o2"), F.col("rank").alias("rank2"), F.col("least").alias("least2"))
-        on = arcs.where("o IS NOT NULL").join(nxt, ["nt", "o"])
-        stepped = on.select("s", "t", F.col("nt2").alias("nt"), F.col("o2").alias("o"), (F.col("rank") + F.col("rank2")).alias("rank"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("lower"))
-        done = arcs.where("o IS NULL").withColumn("lower", F.lit(False))
-        new, seen = work.save_counted(stepped.unionByName(done), open=F.count_if(F.col("o").isNotNull()), lower=F.count_if(F.col("lower")))
+        # two steps a job
+        stepped = _doubled(_doubled(arcs.withColumn("lower", F.lit(False))))
+        new, seen = work.save_counted(stepped, open=F.count_if(F.col("o").isNotNull()), lower=F.count_if(F.col("lower")))
         work.drop(arcs)
         arcs = new
         if seen["open"] == still and not seen["lower"]:
@@ -85,12 +92,14 @@ def _rank_chains(work: Workspace, chain: DataFrame) -> tuple[DataFrame, DataFram
     return parents, edges
 
 
-def _solve_core(work: Workspace, edges: DataFrame) -> list[DataFrame]:
-    """Parents of the core's vertices: each round joins every vertex to its smallest neighbour and contracts the roots."""
-    tables = []
-    edges, seen = work.save_counted(edges)
+def _solve_core(work: Workspace, edges: DataFrame, deg: DataFrame) -> list[DataFrame]:
+    """Parents of the core's vertices: each round joins every vertex to its smallest neighbour and contracts the roots.
+
+    edges and deg are saved tables; edges stays.
+    """
+    tables, seen, given = [], {"n": 1}, edges
     while seen["n"]:
-        up = _degrees(edges).select("v", F.least("v", "lo").alias("p"))
+        up = deg.select("v", F.least("v", "lo").alias("p"))
         up, left = work.save_counted(up, open=F.count_if(F.col("p") != F.col("v")))
         while left["open"]:  # pointer jumping to the roots; p never exceeds v, so there are no cycles
             jump = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"), (F.col("y.p") != F.col("x.p")).alias("moved"))
@@ -102,8 +111,9 @@ def _solve_core(work: Workspace, edges: DataFrame) -> list[DataFrame]:
         x, y = up.select(F.col("v").alias("a"), F.col("p").alias("pa")), up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         merged = edges.join(x, "a").join(y, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         new, seen = work.save_counted(merged)
-        work.drop(edges)
-        edges = new
+        if edges is not given:
+            work.drop(edges)
+        edges, deg = new, _degrees(new)
     return tables
 
 
@@ -115,41 +125,48 @@ def linked_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFra
     empty result. The smallest id of a group is a row of the result too.
     """
     work = Workspace(pairs.sparkSession, "groups")
-    edges, seen = work.save_counted(clean_links(pairs, a, b))
-    links = edges
-    parents: list[DataFrame] = []
+    links, seen = work.save_counted(clean_links(pairs, a, b))
+    edges, parents = links, []
+
+    def degrees(of: DataFrame) -> tuple[DataFrame, dict]:
+        return work.save_counted(_degrees(of), leaves=F.count_if(F.col("deg") == 1), chain=F.count_if(F.col("deg") == 2))
+
+    deg, kinds = degrees(edges) if seen["n"] else (None, {})
     while seen["n"]:
-        deg = work.save(_degrees(edges))
-        leaves = deg.where("deg = 1").select("v", F.col("lo").alias("parent"))
-        # of an edge that stands alone the smaller end stays
-        pairs_only = leaves.alias("x").join(leaves.alias("y"), F.expr("x.parent = y.v AND y.parent = x.v AND x.v < y.v"), "left_semi")
-        kept = leaves.join(pairs_only.select("v"), "v", "left_anti")
-        gone, n_leaves = work.save_counted(kept.select("v", "parent"))
-        rest = edges
-        if n_leaves["n"]:
+        if not kinds["leaves"] and not kinds["chain"]:
+            parents.extend(_solve_core(work, edges, deg))
+            break
+        if kinds["leaves"]:
+            leaves = deg.where("deg = 1").select("v", F.col("lo").alias("parent"))
+            # of an edge that stands alone the smaller end stays
+            alone = leaves.alias("x").join(leaves.alias("y"), F.expr("x.parent = y.v AND y.parent = x.v AND x.v < y.v"), "left_semi")
+            gone = work.save(leaves.join(alone.select("v"), "v", "left_anti").select("v", "parent"))
             parents.append(gone)
             rest, seen = work.save_counted(_without(edges, gone))
             if not seen["n"]:
                 break
-            deg = work.save(_degrees(rest))
-        chain, n_chain = work.save_counted(deg.where("deg = 2").select("v", "lo", "hi"))
-        if n_chain["n"]:
+            work.drop(deg)
+            edges = rest
+            deg, kinds = degrees(edges)
+        if kinds["chain"]:
+            chain = deg.where("deg = 2").select("v", "lo", "hi")
             up, short = _rank_chains(work, chain)
             parents.append(up.where("v <> parent"))
-            rest, seen = work.save_counted(_without(rest, chain).unionByName(short).distinct())
-        elif not n_leaves["n"]:
-            parents.extend(_solve_core(work, rest))
-            break
-        edges = rest
+            edges, seen = work.save_counted(_without(edges, chain).unionByName(short).distinct())
+            if not seen["n"]:
+                break
+            work.drop(deg)
+            deg, kinds = degrees(edges)
     # labels come back from the last round to the first; what has no parent is a root
     vertices = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     labels = None
-    for up in reversed(parents):
+    for level, up in enumerate(reversed(parents)):
         if labels is None:
             labels = up.select("v", F.col("parent").alias("root"))
         else:
             down = up.join(labels.select(F.col("v").alias("parent"), "root"), "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
-            labels = work.save(labels.unionByName(down))
+            labels = labels.unionByName(down)
+            labels = work.save(labels) if level % 2 == 0 else labels  # what is read twice a level is written every second one
     if labels is None:
         return links.select(F.col("a").alias("group_id"), F.col("b").alias("id"))
     full = work.save(vertices.join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root")))

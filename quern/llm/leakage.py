@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.lookalike import duck, form_sql
 from quern.llm.tokens import split_words
+from quern.workspace import Workspace
 
 SHARD_BYTES = 6_000_000
 # Evaluation texts are sent to the tasks in blocks of at most this many characters.
@@ -164,25 +166,30 @@ def leaked(docs: DataFrame, items: DataFrame, least: int = 12, doc_id: str = "do
     Words are compared after look-alike characters have been made equal. doc_word and item_word
     count from 0; of runs of equal length the first in the document is given. The evaluation
     table is a stated query set: it is read to the driver in blocks of at most BLOCK_CHARS
-    characters, each block is searched in all documents. NULL and short texts match nothing; a
-    repeated id gives repeated rows; other columns are ignored.
+    characters (or one longer text), and each block is searched in all documents. With several
+    blocks the hits of one are written before the next is read, so no more than one block is held
+    at a time. NULL and short texts match nothing; a repeated id gives repeated rows; other
+    columns are ignored.
     """
     items = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
-    out = None
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    work = Workspace(docs.sparkSession, "leaks")
+    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         rows = part.orderBy("item").collect()
-        found = _search_block(src, passages([r[0] for r in rows], [r[1] for r in rows]), least)
+        sent = docs.sparkSession.sparkContext.broadcast(passages([r[0] for r in rows], [r[1] for r in rows]))
+        found = _search_block(src, sent, least)
+        if blocks > 1:
+            found = work.save(found)
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("doc").alias(doc_id), F.col("item_id").alias(item_id), "n_words", "doc_word", "item_word")
 
 
-def _search_block(src: DataFrame, p: Passages, least: int) -> DataFrame:
-    sent = src.sparkSession.sparkContext.broadcast(p)
-
+def _search_block(src: DataFrame, sent: Broadcast, least: int) -> DataFrame:
     def run(batches):
         con, block = duck(), sent.value
         for b in _shards(batches):

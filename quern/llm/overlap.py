@@ -127,14 +127,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(common[ok] / union[ok])], ["cls_t", "cls_e", "similarity"])
 
 
-def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split") -> DataFrame:
-    """(id_a, split_a, id_b, split_b, similarity): pairs of near-same records, one in train and one in another split.
+def class_links(split_rows: DataFrame, records: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(id, cls, split) of the records, and (cls_t, cls_e, similarity) of the near-same classes of train and other records.
 
-    split_rows has id and split, records id and text. Records need LEAST_WORDS words; the
-    similarity is the Jaccard similarity of their sets of words, at least 4/5. id_a is the
-    smaller id. Rows without id, text or split are in no pair; rows that repeat an id within a
-    split count once; an id that stands in train and elsewhere is in no pair with itself; if an
-    id has several texts each counts.
+    A class is a set of words; see :func:`split_overlaps`.
     """
     work = Workspace(records.sparkSession, "overlap")
     src = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -155,6 +151,19 @@ def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id"
     near = both.select("cls_t", "cls_e", "text_t", "text_e").mapInArrow(_verify, "cls_t binary, cls_e binary, similarity double")
     same = classes.where("sides = 3").select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(1.0).alias("similarity"))
     links = work.save(near.unionByName(same))
+    return members, links
+
+
+def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split") -> DataFrame:
+    """(id_a, split_a, id_b, split_b, similarity): pairs of near-same records, one in train and one in another split.
+
+    split_rows has id and split, records id and text. Records need LEAST_WORDS words; the
+    similarity is the Jaccard similarity of their sets of words, at least 4/5. id_a is the
+    smaller id. Rows without id, text or split are in no pair; rows that repeat an id within a
+    split count once; an id that stands in train and elsewhere is in no pair with itself; if an
+    id has several texts each counts.
+    """
+    members, links = class_links(split_rows, records, id_col, text_col, split_col)
     i = members.where(F.col("split") == TRAIN).select(F.col("id").alias("i"), F.col("split").alias("si"), F.col("cls").alias("cls_t"))
     j = members.where(F.col("split") != TRAIN).select(F.col("id").alias("j"), F.col("split").alias("sj"), F.col("cls").alias("cls_e"))
     out = links.join(i, "cls_t").join(j, "cls_e").where("i <> j")
@@ -168,10 +177,20 @@ def split_overlaps(split_rows: DataFrame, records: DataFrame, id_col: str = "id"
     )
 
 
-def overlap_report(pairs: DataFrame, split_rows: DataFrame, records: DataFrame) -> DataFrame:
-    """(split, source_id, n_records, n_pairs): evaluation records that recur in train, and their pairs."""
-    in_train = F.col("split_a") == TRAIN
-    per_id = pairs.select(F.when(in_train, F.col("id_b")).otherwise(F.col("id_a")).alias("id"), F.when(in_train, F.col("split_b")).otherwise(F.col("split_a")).alias("split"))
-    per_id = per_id.groupBy("id", "split").agg(F.count(F.lit(1)).alias("k"))
-    sources = records.where("id IS NOT NULL").groupBy("id").agg(F.min("source_id").alias("source_id"))
+def overlap_report(split_rows: DataFrame, records: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "split") -> DataFrame:
+    """(split, source_id, n_records, n_pairs): evaluation records that recur in train, and their pairs.
+
+    The counts follow from the links of classes and the sizes of classes, so no pair of records is
+    made. A record's source is the smallest of its rows; an id that stands in train and elsewhere
+    is no pair with itself.
+    """
+    members, links = class_links(split_rows, records, id_col, text_col, split_col)
+    train, other = members.where(F.col("split") == TRAIN), members.where(F.col("split") != TRAIN)
+    sizes = train.groupBy(F.col("cls").alias("cls_t")).agg(F.count(F.lit(1)).alias("n"))
+    partners = links.join(sizes, "cls_t").groupBy(F.col("cls_e").alias("cls")).agg(F.sum("n").alias("k"))
+    per_row = other.join(partners, "cls").select("id", "split", "cls", "k")
+    both = train.select("id", F.col("cls").alias("cls_t")).join(other.select("id", "split", F.col("cls").alias("cls_e")), "id")
+    own = both.join(links.select("cls_t", "cls_e"), ["cls_t", "cls_e"]).groupBy("id", "split", F.col("cls_e").alias("cls")).agg(F.count(F.lit(1)).alias("own"))
+    per_id = per_row.join(own, ["id", "split", "cls"], "left").groupBy("id", "split").agg(F.sum(F.col("k") - F.coalesce("own", F.lit(0))).alias("k")).where("k > 0")
+    sources = records.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min("source_id").alias("source_id"))
     return per_id.join(sources, "id").groupBy("split", "source_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("k").alias("n_pairs"))

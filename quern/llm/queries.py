@@ -25,8 +25,8 @@ def queries() -> dict:
         "p4_reviewers": lambda s, d: consensus.discover(table(s, d, "annotations")).reviewers,
         "p6_found": lambda s, d: personal.personal_kinds(table(s, d, "comments")),
         "p6_masked": lambda s, d: personal.masked(table(s, d, "comments")),
-        "p7_found": lambda s, d: overlap.split_overlaps(table(s, d, "split_groups"), table(s, d, "comments")).select("id_a", "id_b"),
-        "p7_report": _overlap_report,
+        "p7_found": lambda s, d: overlap.split_overlaps(table(s, d, "split_groups"), table(s, d, "comments")).select("id_a", "id_b").distinct(),
+        "p7_report": lambda s, d: overlap.overlap_report(table(s, d, "split_groups"), table(s, d, "comments")),
         "p8_found": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
         "p8_passages": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_clean_documents": _clean_documents,
@@ -67,11 +67,6 @@ def _split_checks(spark, sf_dir):
     return names.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n_broken")), "rule", "left").na.fill(0, ["n_broken"])
 
 
-def _overlap_report(spark, sf_dir):
-    sides, comments = table(spark, sf_dir, "split_groups"), table(spark, sf_dir, "comments")
-    return overlap.overlap_report(overlap.split_overlaps(sides, comments), sides, comments)
-
-
 def _clean_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return leakage.without_leaks(docs, leakage.leaked(docs, table(spark, sf_dir, "eval_items"))).select("doc_id", "source", "n_chars")
