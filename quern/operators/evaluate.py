@@ -97,3 +97,35 @@ def evaluation_tables(df: DataFrame) -> dict[str, DataFrame]:
     df = checked(df)
     out = {"metrics": macro_metrics(df), "per_label": label_metrics(df), "confusion_matrix": confusion_matrix(df), "error_groups": slice_metrics(df), "predictions": df, "errors": misclassified(df)}
     return out | ({"errors_by_post": errors_by(df)} if "post_id" in df.columns else {})
+
+
+def report(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """label_metrics and a row macro_avg with their means and the number of rows."""
+    per = label_metrics(df, labels)
+    mean = per.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+    return per.unionByName(mean.select(F.lit("macro_avg").alias("label"), "precision", "recall", "f1", "support"))
+
+
+def evaluate_model(pipeline, rows: DataFrame, manifest: dict, split: str = "test", provenance: str = "real") -> dict[str, DataFrame]:
+    """The tables of a fitted pipeline's evaluation on a split of saved splits, with the signature that :func:`compare` needs.
+
+    A pipeline that was not selected on these splits (its settings name another manifest hash) is
+    refused.
+    """
+    from quern.operators.models import predictions
+
+    if pipeline.settings.get("split_manifest_sha256") != manifest["manifest_sha256"]:
+        raise ValueError("the model was selected on other splits")
+    own = rows.where(F.col("split") == split)
+    tables = evaluation_tables(predictions(own, pipeline.predict(own), pipeline.name))
+    signed = tables["metrics"].select(
+        F.lit(pipeline.name).alias("model_name"), F.lit(manifest["manifest_sha256"]).alias("split_manifest_sha256"), F.lit(manifest["splits"][split]["sha256"]).alias("evaluation_data_sha256"),
+        F.lit(split).alias("split"), F.lit(provenance).alias("provenance"), "*",
+    )
+    return tables | {"metrics": signed, "report": report(tables["predictions"])}
+
+
+def confident(df: DataFrame) -> DataFrame:
+    """The predictions with ``confidence``, the largest of their probabilities."""
+    columns = [c for c in df.columns if c.startswith("probability_")]
+    return df.withColumn("confidence", F.greatest(*columns))

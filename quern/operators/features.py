@@ -112,3 +112,18 @@ def unseen_terms(model: FeatureModel, train: DataFrame, id_col: str = "id", text
 def without_features(rows: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows that have no feature at all."""
     return rows.join(features.select(id_col).distinct(), id_col, "left_anti")
+
+
+def wrong_weights(model: FeatureModel, train: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Vocabulary terms of which df, total or idf is not that of the training rows; must be empty."""
+    own = term_counts(train, model.vectorizer, id_col, text_col).groupBy("part", "term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
+    idf = F.ln((1 + F.lit(train.select(id_col).count())) / (1 + F.col("_df"))) + 1
+    wrong = ~(F.col("df").eqNullSafe(F.col("_df")) & F.col("total").eqNullSafe(F.col("_total")) & (F.abs(F.col("idf") - idf) < 1e-9))
+    return model.vocabulary.join(own, ["part", "term"], "left").where(F.coalesce(wrong, F.lit(True))).select("part", "term")
+
+
+def matrix_profile(rows: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row: n_rows, n_terms, stored entries and rows without any."""
+    used = features.agg(F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("stored"), F.countDistinct(id_col).alias("_filled")).first()
+    n = rows.select(id_col).distinct().agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.select("n_rows", F.lit(used["n_terms"]).alias("n_terms"), F.lit(used["stored"]).alias("stored"), (F.col("n_rows") - used["_filled"]).alias("zero_rows"))

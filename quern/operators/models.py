@@ -16,6 +16,7 @@ from quern.functions.text import normalize_text
 from quern.labels import LABELS
 from quern.operators.evaluate import macro_metrics
 from quern.operators.features import FeatureModel, Vectorizer, fit
+from quern.sources.tables import dataset_hash, metadata_hash, read_json, write_json
 from quern.workspace import Workspace, maybe_broadcast
 
 
@@ -256,12 +257,12 @@ class Search:
 
 
 def search(
-    train: DataFrame, validation: DataFrame, feature: str, algorithm: str, ngrams: Sequence[tuple[int, int]] = ((1, 1), (1, 2)), params: Sequence[float] = (0.5, 1.0), emoji_modes: Sequence[str] = ("keep",), class_weights: Sequence[str | None] = (None,), min_dfs: Sequence[int] = (1,), sublinear: Sequence[bool] = (False,), max_features: int | None = 20_000
+    train: DataFrame, validation: DataFrame, feature: str, algorithm: str, ngrams: Sequence[tuple[int, int]] = ((1, 1), (1, 2)), params: Sequence[float] = (0.5, 1.0), emoji_modes: Sequence[str] = ("keep",), class_weights: Sequence[str | None] = (None,), min_dfs: Sequence[int] = (1,), sublinear: Sequence[bool] = (False,), max_features: int | None = 20_000, about: dict | None = None
 ) -> Search:
     """Tries all settings in order and keeps the first with the largest validation Macro-F1; nothing is refitted on the validation rows.
 
     The settings are few; each trial is a distributed fit over normalized texts that are written
-    once per emoji mode.
+    once per emoji mode. ``about`` (the hash of the splits, say) becomes part of the settings.
     """
     if algorithm not in ("nb", "svm"):
         raise ValueError("algorithm must be nb or svm")
@@ -278,40 +279,62 @@ def search(
         model = fit_naive_bayes(tr, x, fm.vocabulary, param) if algorithm == "nb" else fit_with_retry(tr, x, fm.vocabulary, c=param, class_weight=weight)
         pred = model.predict(va, fm.transform(va)).join(va.select("id", F.col("label").alias("true_label")), "id")
         score = macro_metrics(pred).first()["macro_f1"]
-        settings = {"candidate": n, "feature": feature, "algorithm": algorithm, "ngram": list(ngram), "param": param, "emoji": mode, "class_weight": weight, "min_df": min_df, "sublinear": sub}
+        settings = {"candidate": n, "feature": feature, "algorithm": algorithm, "ngram": list(ngram), "param": param, "emoji": mode, "class_weight": weight, "min_df": min_df, "sublinear": sub} | (about or {})
         log.append(settings | {"validation_macro_f1": score})
         if out is None or score > out.score:
             out = Pipeline(f"{feature}+{algorithm}", settings, fm, model, score)
     return Search(out, log)
 
 
-def save_pipeline(p: Pipeline, path: str) -> None:
-    """Writes the tables and settings of a pipeline; an existing path is an error."""
+def _model_tables(p: Pipeline) -> dict[str, DataFrame]:
+    own = {n: getattr(p.model, n) for n in ("priors", "theta", "rest")} if isinstance(p.model, NaiveBayes) else {"weights": p.model.weights}
+    return {"vocabulary": p.features.vocabulary} | own
+
+
+def save_pipeline(p: Pipeline, path: str) -> dict:
+    """Writes the tables and settings of a pipeline and reads them back: other predictions or hashes are an error, as is an existing path; the metadata."""
     spark = p.features.vocabulary.sparkSession
-    p.features.vocabulary.write.parquet(f"{path}/vocabulary")
-    if isinstance(p.model, NaiveBayes):
-        for name in ("priors", "theta", "rest"):
-            getattr(p.model, name).write.parquet(f"{path}/{name}")
-    else:
-        p.model.weights.write.parquet(f"{path}/weights")
-    about = {"name": p.name, "settings": p.settings, "score": p.score, "n_docs": p.features.n_docs, "vectorizer": p.features.vectorizer.__dict__, "labels": list(LABELS)}
+    for name, df in _model_tables(p).items():
+        df.write.parquet(f"{path}/{name}")
+    hashes = {name: dataset_hash(spark.read.parquet(f"{path}/{name}")) for name in _model_tables(p)}
+    about = {"name": p.name, "settings": p.settings, "score": p.score, "n_docs": p.features.n_docs, "vectorizer": p.features.vectorizer.__dict__, "labels": list(LABELS), "tables_sha256": hashes}
     spark.createDataFrame([(json.dumps(about, ensure_ascii=False, sort_keys=True),)], "metadata string").coalesce(1).write.text(f"{path}/metadata")
+    return about
 
 
 def load_pipeline(spark, path: str) -> Pipeline:
-    """Reads a saved pipeline; other labels than ours are an error."""
+    """Reads a saved pipeline; tables that were changed, or other labels than ours, are an error."""
     about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     if tuple(about["labels"]) != LABELS:
         raise ValueError("the model was trained for other labels")
+    saved = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables_sha256"]}
+    if changed := [name for name, df in saved.items() if dataset_hash(df) != about["tables_sha256"][name]]:
+        raise ValueError(f"tables of the model were changed: {changed}")
     v = Vectorizer(**{k: tuple(x) if isinstance(x, list) else x for k, x in about["vectorizer"].items()})
-    fm = FeatureModel(v, spark.read.parquet(f"{path}/vocabulary"), about["n_docs"])
+    fm = FeatureModel(v, saved["vocabulary"], about["n_docs"])
     if about["settings"]["algorithm"] == "nb":
-        model = NaiveBayes(*[spark.read.parquet(f"{path}/{n}") for n in ("priors", "theta", "rest")], about["settings"]["param"])
+        model = NaiveBayes(*[saved[n] for n in ("priors", "theta", "rest")], about["settings"]["param"])
     else:
-        model = LinearSvm(spark.read.parquet(f"{path}/weights"), LABELS, 0, 0.0)
+        model = LinearSvm(saved["weights"], LABELS, 0, 0.0)
     return Pipeline(about["name"], about["settings"], fm, model, about["score"])
 
 
+def selection_lock(spark, path: str, chosen: dict[str, dict], manifest_hash: str) -> dict:
+    """Writes which saved models (name -> metadata of save_pipeline) were selected on which splits, before any test row is predicted; an existing lock is an error."""
+    lock = {"split_manifest_sha256": manifest_hash, "test_predictions_computed": False, "models": {n: {"tables_sha256": m["tables_sha256"], "validation_macro_f1": m["score"]} for n, m in sorted(chosen.items())}}
+    write_json(spark, path, lock | {"lock_sha256": metadata_hash(lock)})
+    return lock
+
+
+def check_lock(spark, path: str, name: str, about: dict, manifest_hash: str) -> None:
+    """An error if the lock was changed, or if a model is not the one that was selected on these splits."""
+    lock = read_json(spark, path)
+    if metadata_hash({k: v for k, v in lock.items() if k != "lock_sha256"}) != lock["lock_sha256"]:
+        raise ValueError("the lock was changed")
+    if lock["split_manifest_sha256"] != manifest_hash or lock["models"].get(name, {}).get("tables_sha256") != about["tables_sha256"]:
+        raise ValueError(f"{name} is not the model that was selected")
+
+
 def truncation(lengths: DataFrame, most: int, length: str = "n_tokens") -> DataFrame:
     """One row: rows longer than ``most``, the longest, and the share of longer ones (0 for no rows)."""
     return lengths.agg(F.count_if(F.col(length) > most).alias("n_truncated"), F.coalesce(F.max(length), F.lit(0)).alias("longest"), F.coalesce(F.avg((F.col(length) > most).cast("double")), F.lit(0.0)).alias("truncated_share"))

@@ -152,6 +152,23 @@ def audit(df: DataFrame, seq: str = "seq", file_hash: Column | None = None) -> D
     return joined.withColumn("_own", first).withColumn("reasons", reasons).drop("_own", "_repeat", "_conflict")
 
 
+def flag_near(audited: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The audited rows; those whose id is in a pair (id_a, id_b) have the flag near_duplicate_candidate as well."""
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("_near", F.lit(True))
+    joined = audited.join(ends, "id", "left")
+    more = F.when(F.col("_near"), F.array_union("audit_flags", F.array(F.lit("near_duplicate_candidate")))).otherwise(F.col("audit_flags"))
+    return joined.withColumn("audit_flags", more).select(*audited.columns)
+
+
+def audit_report(audited: DataFrame) -> DataFrame:
+    """(kind, value, n): rows, clean and excluded ones, and the rows of each flag and of each reason."""
+    flag = F.transform("audit_flags", lambda x: F.struct(F.lit("flag").alias("kind"), x.alias("value")))
+    reason = F.transform("reasons", lambda x: F.struct(F.lit("reason").alias("kind"), x.alias("value")))
+    state = F.when(F.size("reasons") == 0, "clean").otherwise("excluded")
+    rows = F.array(F.struct(F.lit("rows").alias("kind"), F.lit("all").alias("value")), F.struct(F.lit("rows").alias("kind"), state.alias("value")))
+    return audited.select(F.explode(F.concat(rows, flag, reason)).alias("r")).groupBy("r.kind", "r.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def clean_rows(audited: DataFrame) -> DataFrame:
     return audited.where(F.size("reasons") == 0).drop("reasons")
 

@@ -6,6 +6,7 @@ import csv
 import hashlib
 import io
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,12 @@ def read_decisions(spark: SparkSession, path: str, base_hash: str) -> DataFrame:
     return rows
 
 
+def read_decision_files(spark: SparkSession, path: str) -> int:
+    """How many batch files a folder holds."""
+    fs, target = _fs(spark, path)
+    return sum(1 for f in fs.listStatus(target) if f.getPath().getName().startswith("batch_"))
+
+
 def literal(spark: SparkSession, text: str) -> DataFrame:
     """One row (id new-1, text)."""
     return spark.createDataFrame([("new-1", text)], "id string, text string")
@@ -160,6 +167,27 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, si
     out.write.mode("errorifexists").options(header=True, quote='"', escape='"', emptyValue="", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def replace_with(spark: SparkSession, path: str, write) -> None:
+    """Lets ``write`` make a folder beside ``path`` and puts it in its place; what stood there stays until the new one is complete."""
+    fs, target = _fs(spark, path)
+    made = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
+    write(made)
+    old = f"{made}-old"
+    if fs.exists(target):
+        fs.rename(target, _fs(spark, old)[1])
+    if not fs.rename(_fs(spark, made)[1], target):
+        raise ValueError(f"{path} could not be replaced")
+    fs.delete(_fs(spark, old)[1], True)
+
+
+def archived_name(path: str, sha256: str) -> str:
+    """The name under which an older version of a file is kept: its stem, the start of its hash, its suffix."""
+    head, _, name = path.rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    kept = f"{stem}_{sha256[:12]}.{suffix}" if dot and stem else f"{name}_{sha256[:12]}"
+    return f"{head}/{kept}" if head else kept
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     """A JSON document made on the driver; parents are made, an existing file is an error."""
     fs, target = _fs(spark, path)
@@ -190,12 +218,19 @@ def load_config(path: str) -> dict:
     return value
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], replace: bool = False) -> DataFrame:
-    """old and new together, one row a key: old rows win, or new ones with ``replace``; of new rows with one key any one."""
-    new = new.dropDuplicates(list(key))
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str], replace: bool = False) -> DataFrame:
+    """old and new together, one row a key: old rows win, or new ones with ``replace``.
+
+    Of new rows with one key the last by ``order`` counts with ``replace``, as it would overwrite
+    the others, and the first without, as the others would be ignored; ties go by all columns.
+    """
+    pick = F.max_by if replace else F.min_by
+    rest = [c for c in new.columns if c not in key]
+    by = F.struct(*order, *[F.col(c).cast("string") for c in rest if c not in order])
+    one = new.groupBy(*key).agg(pick(F.struct(*rest), by).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*new.columns)
     if replace:
-        return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
-    return old.unionByName(new.join(old.select(*key), list(key), "left_anti"))
+        return old.join(one.select(*key), list(key), "left_anti").unionByName(one)
+    return old.unionByName(one.join(old.select(*key), list(key), "left_anti"))
 
 
 # provenance
@@ -245,11 +280,19 @@ def save_splits(df: DataFrame, path: str, source_hash: str, about: dict) -> dict
         part = saved.where(F.col("split") == name)
         manifest["splits"][name] = {"rows": part.count(), "posts": part.select("post_id").distinct().count(), "sha256": dataset_hash(part, [c for c in df.columns if c != "split"])}
     write_json(spark, f"{path}/manifest.json", manifest | {"manifest_sha256": metadata_hash(manifest)})
-    return manifest
+    return manifest | {"manifest_sha256": metadata_hash(manifest)}
 
 
-def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """The rows and the manifest of saved splits; changed rows or a changed manifest are an error."""
+def load_splits(spark: SparkSession, path: str, ids: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """The rows and the manifest of saved splits.
+
+    It is an error if the manifest or the rows were changed, a split lacks a label, an id, post or
+    text stands in two splits, labels with origins have ones that don't fit, or the ids are not
+    those of ``ids`` (id), if that is given.
+    """
+    from quern.operators.quality import origins_invalid
+    from quern.operators.split import check_disjoint
+
     manifest = read_json(spark, f"{path}/manifest.json")
     own = manifest.pop("manifest_sha256")
     if metadata_hash(manifest) != own:
@@ -258,4 +301,9 @@ def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     for name, info in manifest["splits"].items():
         if dataset_hash(rows.where(F.col("split") == name), [c for c in rows.columns if c != "split"]) != info["sha256"]:
             raise ValueError(f"the rows of {name} were changed")
-    return rows, manifest
+    check_disjoint(rows)
+    if {"label_source", "annotation_status", "reviewer"} <= set(rows.columns) and origins_invalid(rows).limit(1).count():
+        raise ValueError("a label's source and status don't fit")
+    if ids is not None and not same_rows(rows.select("id"), ids.select("id"), ["id"]):
+        raise ValueError("the ids are not those that were to be split")
+    return rows, manifest | {"manifest_sha256": own}

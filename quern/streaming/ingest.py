@@ -9,47 +9,57 @@ judged afresh.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import py_strip, text_key
-from quern.operators.graph import components
 from quern.workspace import Workspace
 
 ACCEPTED, DUPLICATE, REJECTED = "accepted", "duplicate", "rejected"
 MISSING, EDGE_SPACE, CONFLICT = "missing_field", "edge_space", "conflicting_id"
 
 
-def _judge(p: pd.DataFrame) -> pd.DataFrame:
-    """One linked group of records in order; rows with the state 'old' are accepted records of earlier imports."""
-    p = p.sort_values("seq", kind="stable")
-    ids: dict[str, int] = {}
-    keys: set[str] = set()
-    states = []
-    for old, ident, content, key in zip(p.old, p.id, p.content, p.k):
-        if old:
-            state = ACCEPTED
-        elif ident in ids:
-            state = DUPLICATE if ids[ident] == content else REJECTED
-        else:
-            state = DUPLICATE if key in keys else ACCEPTED
-        if state == ACCEPTED:
-            ids.setdefault(ident, content)
-            keys.add(key)
-        states.append(state)
-    return p[["seq", "old"]].assign(state=states)
+def _accepted(work: Workspace, nodes: DataFrame, store: DataFrame | None) -> DataFrame:
+    """(s, id, k, content) of the records that are accepted, those of the store included; no id and no key comes twice.
+
+    nodes is (s, id, k, content), one row for each id and key, s the place of the first row. A
+    node is accepted if no accepted node before it has its id or its key. In every round the nodes
+    that are the first ones of both their id and their key are accepted, and all that share either
+    with them are out. So a key that is shared by a third of all ids is settled in one round; the
+    rounds are as many as the longest chain of nodes that take turns in sharing id and key.
+    """
+    found = []
+    if store is not None:
+        found.append(store)
+        nodes = _without(nodes, store)
+    nodes, left = work.save_counted(nodes)
+    while left["n"]:
+        by_id = nodes.groupBy("id").agg(F.min("s").alias("s"))
+        by_key = nodes.groupBy("k").agg(F.min("s").alias("s"))
+        won = work.save(nodes.join(by_id, ["id", "s"], "left_semi").join(by_key, ["k", "s"], "left_semi").select("s", "id", "k", "content"))
+        found.append(won)
+        rest, left = work.save_counted(_without(nodes, won))
+        work.drop(nodes)
+        nodes = rest
+    out = nodes.select("s", "id", "k", "content")
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def _without(nodes: DataFrame, taken: DataFrame) -> DataFrame:
+    return nodes.join(taken.select("id"), "id", "left_anti").join(taken.select("k"), "k", "left_anti").select("s", "id", "k", "content")
 
 
 def judge(rows: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """The rows (seq, id, post_id, text, ...) with ``state`` and ``reason``.
 
-    store holds the records (id, post_id, text) accepted earlier. Records whose id and text key
-    occur once are accepted at once. Of the others, rows that repeat an earlier row with the same
-    id, key and content can't be accepted after it and don't change what is seen, so each
-    (id, key, content) is judged by its first two rows only; the rest follow the second. What is
-    then left is judged in order within groups linked by id or key.
+    store holds the records (id, post_id, text) accepted earlier. Of rows with one id and key only
+    the first can be accepted, so the rows are first combined by both. No group of rows is ever
+    gathered: all steps are aggregations and joins, see :func:`_accepted`. NULL counts as missing;
+    seq must be unique; an empty table gives an empty one.
     """
     work = Workspace(rows.sparkSession, "ingest")
     cols = {c: F.coalesce(F.col(c), F.lit("")) for c in ("id", "post_id", "text")}
@@ -58,34 +68,26 @@ def judge(rows: DataFrame, store: DataFrame | None = None) -> DataFrame:
     blank = (py_strip(F.col("id")) == "") | (py_strip(F.col("post_id")) == "") | (py_strip(F.col("text")) == "")
     edge = (py_strip(F.col("id")) != F.col("id")) | (py_strip(F.col("post_id")) != F.col("post_id"))
     checks = F.when(invalid | blank, MISSING).when(edge, EDGE_SPACE)
-    src = work.save(src.withColumns({"_reason": checks, "k": F.sha2(text_key(F.col("text")), 256), "content": F.xxhash64("post_id", "text")}))
-    new = src.where("_reason IS NULL").select("seq", "id", "k", "content", F.lit(False).alias("old"))
-    everything = new
+    content = F.sha2(F.concat_ws("\x01", "post_id", "text"), 256)
+    src = work.save(src.withColumns({"_seq": F.col("seq").cast("bigint"), "_reason": checks, "_k": F.sha2(text_key(F.col("text")), 256), "_c": content}))
+    first = F.min(F.struct(F.col("_seq").alias("s"), F.col("_c").alias("content"))).alias("f")
+    nodes = src.where("_reason IS NULL").groupBy("id", F.col("_k").alias("k")).agg(first).select("f.s", "id", "k", "f.content")
+    had = None
     if store is not None:
-        had = store.select(F.lit(-1).cast("bigint").alias("seq"), "id", F.sha2(text_key(F.col("text")), 256).alias("k"), F.xxhash64("post_id", "text").alias("content"), F.lit(True).alias("old"))
-        everything = new.withColumn("seq", F.col("seq").cast("bigint")).unionByName(had)
-    # equal records: the first two of them decide for all
-    triples = everything.groupBy("id", "k", "content").agg(F.min(F.when(~F.col("old"), F.col("seq"))).alias("s1"), F.bool_or("old").alias("was"), F.count_if(~F.col("old")).alias("n"))
-    later = new.join(triples.where("n > 1").select("id", "k", "content", "s1"), ["id", "k", "content"]).where("seq > s1").groupBy("id", "k", "content").agg(F.min("seq").alias("s2"))
-    triples = work.save(triples.join(later, ["id", "k", "content"], "left"))
-    links = triples.select(F.concat(F.lit("i"), "id").alias("a"), F.concat(F.lit("k"), "k").alias("b"))
-    lone = links.groupBy("a").agg(F.count(F.lit(1)).alias("na"), F.min("b").alias("b")).where("na = 1").join(links.groupBy("b").agg(F.count(F.lit(1)).alias("nb")).where("nb = 1"), "b")
-    several = work.save(links.join(lone.select("a"), "a", "left_anti"))
-    groups = components(several).select(F.col("node").alias("a"), "component")
-    shared = triples.withColumn("a", F.concat(F.lit("i"), "id")).join(groups, "a", "left")
-    alone = shared.where("component IS NULL")
-    first = alone.where("s1 IS NOT NULL").select(F.col("s1").alias("seq"), F.when(F.col("was"), DUPLICATE).otherwise(ACCEPTED).alias("state"))
-    second = alone.where("s2 IS NOT NULL").select(F.col("s2").alias("seq"), F.lit(DUPLICATE).alias("state"))
-    both = F.array_compact(F.array(F.when(F.col("was"), F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit(True).alias("old"))), F.when(F.col("s1").isNotNull(), F.struct(F.col("s1").cast("bigint").alias("seq"), F.lit(False).alias("old"))), F.when(F.col("s2").isNotNull(), F.struct(F.col("s2").cast("bigint").alias("seq"), F.lit(False).alias("old")))))
-    linked = shared.where("component IS NOT NULL").select("component", "id", "k", "content", F.explode(both).alias("e")).select("component", "id", "k", "content", "e.seq", "e.old")
-    judged = linked.groupBy("component").applyInPandas(_judge, "seq bigint, old boolean, state string").where("NOT old").select("seq", "state")
-    states = work.save(first.unionByName(second).unionByName(judged))
-    firsts = triples.select("id", "k", "content", "s1", "s2")
-    out = src.join(firsts, ["id", "k", "content"], "left").withColumn("_at", F.when(F.col("seq") == F.col("s1"), F.col("s1")).otherwise(F.col("s2")))
-    out = out.join(states.withColumnRenamed("seq", "_s"), F.col("_at") == F.col("_s"), "left")
-    state = F.when(F.col("_reason").isNotNull(), REJECTED).otherwise(F.col("state"))
-    reason = F.coalesce("_reason", F.when(F.col("state") == REJECTED, CONFLICT))
-    return out.withColumns({"reason": reason, "state": state}).drop("_reason", "k", "content", "s1", "s2", "_at", "_s", "_invalid")
+        had = work.save(store.select(F.lit(-1).cast("bigint").alias("s"), "id", F.sha2(text_key(F.col("text")), 256).alias("k"), content.alias("content")))
+    taken = work.save(_accepted(work, nodes, had))
+    by_id = taken.groupBy("id").agg(F.min(F.struct("s", "content")).alias("_own"))
+    by_key = taken.groupBy(F.col("k").alias("_k")).agg(F.min("s").alias("_first"))
+    out = src.join(by_id, "id", "left").join(by_key, "_k", "left")
+    before = F.col("_own.s") < F.col("_seq")
+    state = (
+        F.when(F.col("_reason").isNotNull(), REJECTED)
+        .when(F.col("_own.s") == F.col("_seq"), ACCEPTED)
+        .when(before & (F.col("_own.content") != F.col("_c")), REJECTED)
+        .otherwise(DUPLICATE)
+    )
+    reason = F.coalesce("_reason", F.when(before & (F.col("_own.content") != F.col("_c")), CONFLICT))
+    return out.withColumns({"state": state, "reason": reason}).select(*[c for c in rows.columns if c not in ("state", "reason", "_invalid")], "state", "reason")
 
 
 def up_to_target(judged: DataFrame, target: int, have: int = 0) -> DataFrame:
@@ -120,10 +122,11 @@ def next_checkpoints(checkpoints: DataFrame, imported: DataFrame) -> DataFrame:
     return both.groupBy("file_key", "sha256").agg(F.max("row_offset").alias("row_offset"))
 
 
-def import_batch(spark: SparkSession, rows: DataFrame, folder: str, batch: str) -> dict[str, int]:
+def import_batch(spark: SparkSession, rows: DataFrame, folder: str, batch: str, target: int | None = None) -> dict[str, int]:
     """Judges rows against the store in ``folder`` and appends the accepted, duplicate and rejected ones under the batch's name.
 
     A batch that was imported before is overwritten by the same rows, so a retry repeats nothing.
+    With a target, rows after the one that fills the store are left out.
     """
     from quern.sources.tables import exists
 
@@ -131,7 +134,10 @@ def import_batch(spark: SparkSession, rows: DataFrame, folder: str, batch: str)
     if exists(spark, f"{folder}/comments"):
         store = spark.read.parquet(f"{folder}/comments").where(F.col("batch") != batch)
     work = Workspace(spark, "import")
-    judged = work.save(judge(rows, store))
+    judged = judge(rows, store)
+    if target is not None:
+        judged = up_to_target(work.save(judged), target, store.count() if store is not None else 0)
+    judged = work.save(judged)
     counts = {}
     for name, state in (("comments", ACCEPTED), ("duplicates", DUPLICATE), ("rejected", REJECTED)):
         part = judged.where(F.col("state") == state)
@@ -140,6 +146,61 @@ def import_batch(spark: SparkSession, rows: DataFrame, folder: str, batch: str)
     return counts
 
 
+def collect_sources(spark: SparkSession, sources: Sequence[dict], folder: str, target: int | None = None) -> dict:
+    """Imports the exports of several sources into the store in ``folder``; gives a report.
+
+    A source is {source_id, source_url, permission_note, columns, exports: [{path, sha256}]}; all
+    but columns (wanted -> source name) and sha256 must be there. A file whose hash is not the
+    pinned one is refused. An error of one source leaves the others alone: it is in the report,
+    under its source, and ``failed`` counts them; see :func:`raise_failed`. With a target, rows
+    after the one that fills the store are left out.
+    """
+    from quern.sources import tables
+
+    report: dict = {"sources": {}, "failed": 0}
+    for n, source in enumerate(sources):
+        name = str(source.get("source_id") or f"source {n + 1}")
+        try:
+            if lacking := [k for k in ("source_id", "source_url", "permission_note", "exports") if not source.get(k)]:
+                raise ValueError(f"the source has no {', '.join(lacking)}")
+            counts = dict.fromkeys(("comments", "duplicates", "rejected"), 0)
+            for k, export in enumerate(source["exports"]):
+                digest = tables.file_hashes(spark, export["path"]).first()["sha256"]
+                if export.get("sha256") not in (None, digest):
+                    raise ValueError(f"{export['path']} is not the file that was pinned")
+                mapping = {c: c for c in ("id", "post_id", "text")} | source.get("columns", {})
+                rows = tables.map_columns(tables.read_export(spark, export["path"], sorted(set(mapping.values()))), mapping)
+                rows = tables.with_row_number(rows.withColumn("_place", F.monotonically_increasing_id()), ["_place"]).drop("_place")
+                rows = rows.withColumns({"source_id": F.lit(name), "source_url": F.lit(source["source_url"]), "file_sha256": F.lit(digest)})
+                done = import_batch(spark, rows, folder, f"{n:03d}-{k:03d}-{digest[:12]}", target)
+                counts = {c: counts[c] + done[c] for c in counts}
+            report["sources"][name] = counts
+        except Exception as e:  # noqa: BLE001  one source must not stop the others
+            report["sources"][name] = {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+            report["failed"] += 1
+    if tables.exists(spark, f"{folder}/comments"):
+        kept = spark.read.parquet(f"{folder}/comments")
+        report |= {"valid_unique_ids": kept.count(), "posts": kept.select("post_id").distinct().count(), "target_reached": target is not None and kept.count() >= target}
+    return report
+
+
+def raise_failed(report: dict) -> dict:
+    """The report itself; a ValueError if a source failed."""
+    if report["failed"]:
+        raise ValueError("; ".join(f"{k}: {v['error']}" for k, v in report["sources"].items() if "error" in v))
+    return report
+
+
+def snapshot(spark: SparkSession, folder: str, path: str) -> int:
+    """Writes the accepted records in the order of their ids as CSV, by way of a folder that is renamed when it is complete; the number of rows."""
+    from quern.sources import tables
+
+    rows = spark.read.parquet(f"{folder}/comments")
+    columns = [c for c in ("id", "post_id", "text", "source_id", "source_url", "collected_at") if c in rows.columns]
+    tables.replace_with(spark, path, lambda to: tables.write_csv(rows.select(*columns).orderBy("id"), to))
+    return rows.count()
+
+
 def stream_exports(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, files_per_batch: int = 16):
     """A file stream that imports every new export file once; progress is in ``checkpoint``, changed files are not read again.
 

@@ -165,7 +165,7 @@ def test_slices_and_errors(spark):
     rows = [("1", "p", "không vui", "negative", "neutral"), ("2", "p", "vui 😊", "positive", "positive"), ("3", None, None, "neutral", "neutral")]
     df = spark.createDataFrame(rows, "id string, post_id string, text string, true_label string, predicted_label string")
     got = {r.group: (r.support, r.errors) for r in evaluate.slice_metrics(df).collect()}
-    assert got == {"all": (3, 1), "negation": (1, 1), "emoji": (1, 0), "short_1_5": (3, 1)}
+    assert got == {"all": (3, 1), "negation": (1, 1), "emoji": (1, 0), "short_1_5_words": (3, 1)}
     assert {r.post_id: (r.support, r.errors) for r in evaluate.errors_by(df).collect()} == {"p": (2, 1), None: (1, 0)}
     assert set(evaluate.evaluation_tables(df)) == {"metrics", "per_label", "confusion_matrix", "error_groups", "predictions", "errors", "errors_by_post"}
 
