@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import leakage, lookalike, mixing, overlap, personal
 from quern.llm.crf import Crf
@@ -31,6 +32,11 @@ def test_forms(spark):
     other = ["Đọc kỹ bài ²", "đọc kỹ bài 2", "Đoc kỹ bài 2", "Đọc kỹ\nbài 2", "Đọc kỹ bài 2 ❤️", "Đọc kỹ bài 2 👨‍👩‍👧", "Đọc kỹ bài 2 👨👩👧"]
     assert len(set(form(spark, same[0], *other))) == len(other) + 1
     assert form(spark, None, "") == [None, ""]
+    # private use characters and others without a rule stay
+    kept = ["\ue000x", "ı", "ſ", "½", "…", "❤️", "🏴\U000e0067\U000e0062\U000e007f", "x\u2028y"]
+    assert form(spark, *kept) == kept
+    want = {"ﬁn": "fin", "Ⅱ": "II", "ｶﾞ": "ガ", "𝐀𝐛": "Ab", "ꓮꓐ": "AB", "e\ufe0f": "e", "ё Ё ό ӑ": "ë Ë ó ă", "a\U000e0041b": "ab", "a\u200d\u200db": "ab", "￥": "¥"}
+    assert form(spark, *want) == list(want.values())
 
 
 def test_alike_pairs(spark):
@@ -114,13 +120,16 @@ def test_overlaps_against_brute_force(spark):
     long = [(i, s, set(words(t))) for i, ss in sides.items() for s in ss for j, _, t in rows if j == i and t and len(words(t)) >= 8]
     want = sorted({(min(a[0], b[0]), max(a[0], b[0])) for a in long for b in long if a[1] == "train" != b[1] and a[0] != b[0] and 5 * len(a[2] & b[2]) >= 4 * len(a[2] | b[2])})
     assert got == want and len(want) > 50
-    report = overlap.overlap_report(found, split, spark.createDataFrame([(i, "s") for i, _, _ in rows], "id string, source_id string"))
-    assert sum(r.n_pairs for r in report.collect()) == len(want)
+    report = overlap.overlap_report(split, texts_df.withColumn("source_id", F.lit("s"))).collect()
+    ends = {(i, s) for i, ss in sides.items() for s in ss if s != "train"}
+    count = {(i, s): len({p for p in want if i in p and "train" in sides[p[0] if p[1] == i else p[1]]}) for i, s in ends}
+    assert {r.split: (r.n_records, r.n_pairs) for r in report} == {s: (sum(1 for (i, t), n in count.items() if t == s and n), sum(n for (i, t), n in count.items() if t == s)) for s in ("validation", "test")}
 
 
 def test_overlaps_of_nothing(spark):
     split = spark.createDataFrame([], "id string, split string")
-    assert overlap.split_overlaps(split, spark.createDataFrame([], "id string, text string")).count() == 0
+    texts = spark.createDataFrame([], "id string, text string, source_id string")
+    assert overlap.split_overlaps(split, texts).count() == 0 and overlap.overlap_report(split, texts).count() == 0
 
 
 def test_band_recall():
@@ -139,20 +148,37 @@ def test_mix(spark):
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
     t = spark.createDataFrame([("lon", 0.5, 1), ("nho-be", 0.06, 3), ("thieu", 0.1, 2), ("khac", 0.2, 2)], "source string, target_share double, max_repeats int")
     m, s = mixing.mix(d, t, block_tokens=200)
+    assert {r.rule: r.n_broken for r in mixing.broken_rules(m, s, 200).collect()} == dict.fromkeys(["shared_slot", "missing_slot", "uneven_block", "gap", "taken_too_often", "over_share"], 0)
     m, s = m.toPandas(), s.toPandas().set_index("source")
     total = s.tokens.sum()
-    assert m.groupby(["source", "doc_id"]).size().groupby("source").max().to_dict() == {"khac": 2, "lon": 1, "nho-be": 2}
+    longest = m.groupby(["source", "doc_id", "repeat"]).n_tokens.sum().max()
     for name, share in (("lon", 0.5), ("khac", 0.2), ("nho-be", 0.06)):
-        assert abs(s.share_of_all[name] - share) < 0.01
+        assert abs(s.taken_tokens[name] - share * total) <= longest / 2 + 1
+    assert m.groupby(["source", "doc_id"]).repeat.nunique().groupby("source").max().to_dict() == {"khac": 2, "lon": 1, "nho-be": 2}
     assert s.taken_tokens["thieu"] == 0 and s.short["thieu"] and not s.short["lon"]
     assert m.n_tokens.sum() == s.taken_tokens.sum() and total > 0
-    # the sources are spread evenly: each half of the mix has about the shares of the whole
+    # the blocks are of one size, the sources are spread evenly: each half of the mix has about the shares of the whole
+    sizes = m.groupby("slot").n_tokens.sum()
+    assert (sizes == 200).sum() >= len(sizes) - m.source.nunique() and sorted(sizes.index) == list(range(len(sizes)))
     m = m.sort_values(["slot", "place"])
     half = m[m.n_tokens.cumsum() <= m.n_tokens.sum() / 2]
     assert abs(half[half.source == "lon"].n_tokens.sum() / half.n_tokens.sum() - s.actual_share["lon"]) < 0.05
     assert mixing.mix(d.limit(0), t)[0].count() == 0 and mixing.mix(d, t.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 65536])
+def test_golden_points_hit_every_block_once(n):
+    points = mixing.golden_points(np.arange(n), n, mixing.golden_step(n))
+    assert sorted(points.tolist()) == list(range(n))
+
+
+def test_golden_points_of_large_numbers():
+    n = (1 << 41) + 7
+    step = mixing.golden_step(n)
+    slots = np.array([0, 1, 12345678901, n - 1])
+    assert mixing.golden_points(slots, n, step).tolist() == [int(x) * step % n for x in slots]
+
+
 def test_token_counts_match_the_tokenizer(spark):
     enc = mixing.encoding(mixing.VOCABULARY)
     texts = ["Xin chào các bạn!", "", None, "<|endoftext|> 😊"]
