@@ -71,8 +71,8 @@ def train(spark, a):
     from quern.operators.models import save_pipeline, search
     from quern.sources.tables import load_splits
 
-    rows, _ = load_splits(spark, a.input)
-    found = search(rows.where("split = 'train'"), rows.where("split = 'validation'"), a.feature, a.algorithm)
+    rows, manifest = load_splits(spark, a.input)
+    found = search(rows.where("split = 'train'"), rows.where("split = 'validation'"), a.feature, a.algorithm, about={"split_manifest_sha256": manifest["manifest_sha256"]})
     save_pipeline(found.best, a.output)
     print(json.dumps(found.log))
 
@@ -97,6 +97,83 @@ def evaluate(spark, a):
         df.write.parquet(f"{a.output}/{name}")
 
 
+def compare(spark, a):
+    from functools import reduce
+
+    from quern.operators.evaluate import compare as run
+
+    show(run(reduce(DataFrame.unionByName, [read(spark, p) for p in a.input])))
+
+
+def assign(spark, a):
+    from quern.operators.annotate import assign as run
+    from quern.operators.annotate import sample_rows
+
+    rows = read(spark, a.input)
+    run(rows, a.people, sample_rows(rows, a.cross, a.seed + 1), sample_rows(rows, a.common, a.seed), a.seed).write.parquet(a.output)
+
+
+def merge(spark, a):
+    from quern.operators import annotate, review
+
+    votes, tasks = read(spark, a.votes), read(spark, a.assignments)
+    merged = annotate.merge_votes(votes, tasks)
+    if a.resolutions:
+        merged = annotate.adjudicate(merged, read(spark, a.resolutions))
+    issues = annotate.vote_issues(tasks, votes, read(spark, a.input))
+    report, labels = review.release(merged, votes, issues, a.pairs, a.least_agreement)
+    merged.write.parquet(f"{a.output}/merged")
+    if labels is not None:
+        labels.write.parquet(f"{a.output}/labels")
+    print(json.dumps(report, ensure_ascii=False))
+
+
+def _decided(spark, a):
+    from quern.operators import review
+    from quern.sources.tables import dataset_hash, exists, read_decisions
+
+    base = read(spark, a.input)
+    digest = dataset_hash(base, ["seq", "id", "text"])
+    found = read_decisions(spark, a.decisions, digest) if exists(spark, a.decisions) else None
+    none = spark.createDataFrame([], "seq bigint, suggested_label string, review_priority string, reason string, action string")
+    return base, digest, review.by_seq(base, none if found is None else found)
+
+
+def view(spark, a):
+    from quern.operators import review
+
+    base, _, decided = _decided(spark, a)
+    show(review.view(base, decided, a.start, a.size))
+
+
+def record(spark, a):
+    from datetime import datetime, timezone
+
+    from quern.operators import review
+
+    base, digest, _ = _decided(spark, a)
+    print(review.record(base, read(spark, a.batch), a.decisions, digest, datetime.now(timezone.utc).isoformat()))
+
+
+def export(spark, a):
+    from quern.operators import review
+
+    base, _, decided = _decided(spark, a)
+    suggested = review.suggestions(base, decided)
+    for name, df in {"label_suggestions": suggested, "review_required": review.required(suggested), "unprocessed_comments": review.unprocessed(suggested), "review_sample": review.sample(suggested), "excluded_comments": review.excluded(base, decided)}.items():
+        df.write.parquet(f"{a.output}/{name}")
+    show(review.progress(base, decided))
+
+
+def dataset(spark, a):
+    from quern.operators.split import split_dataset
+    from quern.sources.tables import dataset_hash, save_splits
+
+    rows = read(spark, a.input)
+    out = split_dataset(rows, read(spark, a.all_rows) if a.all_rows else rows, read(spark, a.pairs), seed=a.seed)
+    print(json.dumps(save_splits(out, a.output, dataset_hash(rows), {"seed": a.seed}), ensure_ascii=False))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quern", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -112,10 +189,19 @@ def main(argv: list[str] | None = None) -> int:
     command(profile, inp)
     command(collect, inp, out, (("--batch",), {"required": True}), (("--column",), {"action": "append", "default": [], "help": "id=source_name"}))
     command(audit, inp, out)
-    command(split, inp, out, (("--group",), {"default": "post_id"}), (("--ratios",), {"nargs": 3, "type": float, "default": [0.7, 0.15, 0.15]}), (("--seed",), {"type": int, "default": 42}), (("--attempts",), {"type": int, "default": 2000}))
+    command(split, inp, out, (("--group",), {"default": "post_id"}), (("--ratios",), {"nargs": 3, "type": float, "default": [0.7, 0.15, 0.15]}), (("--seed",), {"type": int, "default": 42}), (("--attempts",), {"type": int, "default": 512}))
     command(train, inp, out, (("--feature",), {"default": "tfidf", "choices": ["bow", "tfidf", "tfidf_word_char"]}), (("--algorithm",), {"default": "svm", "choices": ["nb", "svm"]}))
     command(predict, (("--input",), {}), (("--text",), {}), (("--model",), {"required": True}), (("--output",), {}))
     command(evaluate, inp, out)
+    seed = (("--seed",), {"type": int, "default": 42})
+    command(compare, (("--input",), {"required": True, "nargs": "+"}))
+    command(assign, inp, out, seed, (("--people",), {"type": int, "default": 4}), (("--cross",), {"type": int, "default": 0}), (("--common",), {"type": int, "default": 40}))
+    command(merge, inp, out, (("--votes",), {"required": True}), (("--assignments",), {"required": True}), (("--resolutions",), {}), (("--pairs",), {"type": int, "required": True}), (("--least-agreement",), {"type": float, "default": 0.8}))
+    decisions = (("--decisions",), {"required": True})
+    command(view, inp, decisions, (("--start",), {"type": int, "required": True}), (("--size",), {"type": int, "default": 50}))
+    command(record, inp, decisions, (("--batch",), {"required": True}))
+    command(export, inp, decisions, out)
+    command(dataset, inp, out, seed, (("--pairs",), {"required": True}), (("--all-rows",), {}))
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"quern {a.command}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:

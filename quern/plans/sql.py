@@ -252,10 +252,11 @@ def oracles() -> dict[str, str]:
             SELECT kind, value, count(DISTINCT split) AS n_splits FROM x WHERE value IS NOT NULL GROUP BY kind, value HAVING count(DISTINCT split) > 1""",
         "crossing_pairs": f"WITH {PAIRS} SELECT id_a, id_b, a.split AS split_a, b.split AS split_b FROM pairs JOIN split_groups a ON a.id = id_a JOIN split_groups b ON b.id = id_b WHERE a.split <> b.split",
         "broken_components": "SELECT split_component, count(DISTINCT split) AS n_splits FROM split_groups GROUP BY split_component HAVING count(DISTINCT split) > 1",
-        "post_components": f"""WITH RECURSIVE {LABELLED}, {PAIRS}, e AS (SELECT a.post_id AS v, b.post_id AS w FROM pairs JOIN labelled a ON a.id = id_a JOIN labelled b ON b.id = id_b),
+        "post_components": f"""WITH RECURSIVE {LABELLED}, {PAIRS}, posts AS (SELECT id, CASE WHEN lower({strip("coalesce(c.p, '')")}) <> '' THEN lower({strip("c.p")}) WHEN c.l IN {LABELS} THEN 'post:' || id ELSE '' END AS post FROM one),
+            e AS (SELECT a.post AS v, b.post AS w FROM pairs JOIN posts a ON a.id = id_a JOIN posts b ON b.id = id_b WHERE a.post <> '' AND b.post <> ''),
             both_ways AS (SELECT v, w FROM e UNION SELECT w, v FROM e UNION SELECT post_id, post_id FROM labelled),
             reach(id, root) AS (SELECT v, v FROM both_ways UNION SELECT b.w, r.root FROM reach r JOIN both_ways b ON b.v = r.id)
-            SELECT id AS post_id, 'split_component_' || substr(sha256(min(root)), 1, 16) AS split_component FROM reach GROUP BY id""",
+            SELECT id AS post_id, 'split_component_' || substr(sha256(min(root)), 1, 16) AS split_component FROM reach WHERE id IN (SELECT post_id FROM labelled) GROUP BY id""",
         # candidates share one of their rarest tokens, which loses no pair of this similarity
         "jaccard_pairs": f"""WITH {ONE}, k AS (SELECT id, {text_key("c.t")} AS key FROM one), r AS (SELECT min(id) AS id, key, list_distinct(string_split(key, ' ')) AS w FROM k WHERE length(key) >= 12 GROUP BY key),
             t AS (SELECT id, len(w) AS n, unnest(w) AS token FROM r), f AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM t),

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.labels import LABELS
@@ -37,12 +37,10 @@ def iso_8601(values: pa.Array) -> np.ndarray:
     parts = parts.fill_null(pa.scalar({f.name: "" for f in parts.type}, parts.type)) if parts.null_count else parts
 
     def number(*names: str, default: int = 0) -> np.ndarray:
-        out = np.full(len(parts), default)
-        for name in names:
-            s = np.asarray(parts.field(name).to_numpy(zero_copy_only=False), dtype=object)
-            has = np.array([bool(x) for x in s])
-            out[has] = [int(x) for x in s[has]]
-        return out
+        found = parts.field(names[0])
+        for name in names[1:]:  # at most one of them is there
+            found = pc.binary_join_element_wise(found, parts.field(name), pa.scalar("", found.type))
+        return pc.if_else(pc.equal(found, ""), pa.scalar(str(default), found.type), found).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
     y = number("y")
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
@@ -50,7 +48,10 @@ def iso_8601(values: pa.Array) -> np.ndarray:
     days = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(mo, 1, 12) - 1] + ((mo == 2) & leap)
     ok &= (y >= 1) & (mo >= 1) & (mo <= 12) & (d >= 1) & (d <= days)
     doy, week = number("doy", default=1), number("w", default=1)
-    ok &= (doy >= 1) & (doy <= 365 + leap) & (week >= 1) & (week <= 53)
+    before = np.maximum(y, 1) - 1
+    first_day = (1 + 5 * (before % 4) + 4 * (before % 100) + 6 * (before % 400)) % 7  # of the year; Sunday is 0
+    weeks = np.where((first_day == 4) | (leap & (first_day == 3)), 53, 52)
+    ok &= (doy >= 1) & (doy <= 365 + leap) & (week >= 1) & (week <= weeks)
     h, m, s = number("h"), number("m", "bm"), number("s", "bs")
     midnight = (h == 24) & (m == 0) & (s == 0)
     return ok & ((h <= 23) | midnight) & (m <= 59) & (s <= 60) & (number("oh") <= 23) & (number("om") <= 59)
@@ -130,6 +131,44 @@ def index_records(raw: pa.Array, columns: int = len(FIELDS)) -> tuple[np.ndarray
     return broken, count, fields
 
 
+def record_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the records in the bytes of a CSV file: a record ends at a line end before which the quotes are even.
+
+    The line end (LF, CR LF or CR) belongs to no record; blank lines are records without content.
+    An unclosed quote makes the rest of the file one record.
+    """
+    even = (np.cumsum(data == _QUOTE) & 1) == 0
+    lf, cr = (data == _LF) & even, (data == _CR) & even
+    paired = np.zeros(len(data), dtype=bool)
+    paired[:-1] = cr[:-1] & lf[1:]
+    last = np.flatnonzero(lf | (cr & ~paired))
+    ends = last - ((last > 0) & lf[last] & cr[last - 1])
+    starts = np.concatenate(([0], last + 1))
+    ends = np.concatenate((ends, [len(data)]))
+    return (starts[:-1], ends[:-1]) if starts[-1] == len(data) else (starts, ends)
+
+
+def read_raw_files(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(file_key, row_number, raw) of CSV files: their records as they stand, to be parsed by :func:`parse_records`.
+
+    A file is read by one task, as whether a line end ends a record depends on all quotes before
+    it; many files are read in parallel. Bytes that are no UTF-8 come as U+FFFD, a byte order mark
+    is dropped, and with ``header`` the first record; row_number counts the others from 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
+                data = np.frombuffer(content.as_buffer(), dtype=np.uint8)
+                data = data[3:] if data[:3].tobytes() == b"\xef\xbb\xbf" else data
+                starts, ends = (x[1:] if header else x for x in record_bounds(data))
+                raw = pa.array([data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts, ends)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(raw), pa.string()), pa.array(np.arange(1, len(raw) + 1), pa.int32()), raw], ["file_key", "row_number", "raw"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_key"), "content")
+    return files.mapInArrow(run, "file_key string, row_number int, raw string")
+
+
 def _as_bool(x: pa.Array) -> np.ndarray:
     return np.asarray(x.to_numpy(zero_copy_only=False), dtype=bool)
 

@@ -8,6 +8,7 @@ of an executor. Only a local session without that setting gets a temporary folde
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -42,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
@@ -77,15 +78,21 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Workspace:
     """Intermediate tables of one operator run.
 
-    ``save`` writes a table and returns it read back (no lineage); ``replace`` also deletes the
-    table it supersedes. What is left is deleted when the driver's interpreter ends.
+    ``save`` writes a table and returns it read back (no lineage), ``drop`` deletes tables that no
+    later step reads. The others stay as long as the operator's result may be read: until
+    :func:`clear` is called, which a long session does once it has written its results, or until
+    the driver's interpreter ends.
     """
 
+    _open: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self.close)
+        if not Workspace._open:
+            atexit.register(clear)
+        Workspace._open.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         return self.save_counted(df)[0]
@@ -121,6 +128,14 @@ class Workspace:
             pass
 
 
+def clear() -> int:
+    """Deletes the intermediate tables of all operators run so far; results that were not written can't be read afterwards. Gives the number of runs."""
+    done = len(Workspace._open)
+    while Workspace._open:
+        Workspace._open.pop().close()
+    return done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table (file or folder) of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,7 +12,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["validate", "--input", src]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == 36
     splits, model = str(tmp_path / "splits"), str(tmp_path / "model")
-    assert main(["split", "--input", src, "--output", splits, "--attempts", "50"]) == 0
+    assert main(["split", "--input", src, "--output", splits, "--attempts", "64"]) == 0
     assert main(["split", "--input", src, "--output", splits]) == 1  # never overwritten
     assert main(["train", "--input", splits, "--output", model, "--feature", "bow", "--algorithm", "nb"]) == 0
     capsys.readouterr()

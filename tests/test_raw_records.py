@@ -102,3 +102,28 @@ def test_empty_long_and_repeated(spark):
     df = spark.createDataFrame([("f", 1, "x"), ("f", 1, "x"), ("f", None, "1,2," + "a" * 3_000_000 + ",,2025-10-03T13:24:28Z")], "file_key string, row_number int, raw string")
     assert R.rejected_rows(df).count() == 1 and R.loaded_rows(df).count() == 1
     assert R.rejected_rows(df.limit(0)).count() == 0
+
+
+def test_files_are_cut_into_records(spark, tmp_path):
+    from quern.sources.raw_records import read_raw_files
+
+    (tmp_path / "a.csv").write_bytes("\ufeffid,post_id,text,label,collected_at\r\n1,p,\"có\nhai dòng, \"\"nháy\"\"\",,2026-01-02T03:04:05Z\r\n\n2,p,x".encode())
+    (tmp_path / "b.csv").write_bytes(b'h\n1,"open\n2,x\n')
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b"h\r1\r\n\xff")
+    got = {}
+    for r in read_raw_files(spark, str(tmp_path)).collect():
+        got.setdefault(r.file_key, {})[r.row_number] = r.raw
+    assert got == {
+        "a.csv": {1: '1,p,"có\nhai dòng, ""nháy""",,2026-01-02T03:04:05Z', 2: "", 3: "2,p,x"},
+        "b.csv": {1: '1,"open\n2,x\n'},
+        "d.csv": {1: "1", 2: "\ufffd"},
+    }
+
+
+def test_weeks_of_a_year():
+    import pyarrow as pa
+
+    from quern.sources.raw_records import iso_8601
+
+    assert iso_8601(pa.array(["2020-W53-1T00:00Z", "2021-W53-1T00:00Z", "2015-W53-7T00:00Z", "2026-W53-1T00:00Z", "2024-W53-1T00:00Z", "2024-W52-1T00:00Z"])).tolist() == [True, False, True, True, False, True]
