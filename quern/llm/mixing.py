@@ -23,7 +23,6 @@ from quern.functions.words import strip
 from quern.operators.prefix import running_sum
 from quern.workspace import Workspace, maybe_broadcast
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenization pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 8192
@@ -46,7 +45,7 @@ def encoding(path: str):
     return _encodings[path]
 
 
-def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", *, vocabulary: str) -> DataFrame:
     """The columns ``keep`` and n_tokens; a NULL text has no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +119,7 @@ def _slots(sizes: DataFrame, block_tokens: int) -> DataFrame:
     return running_sum(placed, ["source"], ["slot"], F.floor(F.col("slot") / ROWS_PER_PART), F.lit(1), "block")
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0, vocabulary: str = VOCABULARY, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0, doc_id: str = "doc_id", *, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """(the mix, the shares).
 
     The mix: (slot, place, source, doc_id, repeat, from_token, n_tokens), one row for each piece
@@ -133,6 +132,7 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
     that is too small even with max_repeats passes stays below it and is marked short. Documents
     of other or no sources and without tokens are in no slot. Documents with one id are taken as
     they come; empty tables give an empty mix.
+    ``vocabulary`` is a tiktoken file that every executor can read.
     """
     work = Workspace(docs.sparkSession, "mix")
     src = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col("source")).alias("source"), F.col("text"))

@@ -9,6 +9,10 @@ from quern.labels import LABELS
 from quern.workspace import Workspace, table
 
 
+# A public tokenizer's file on the machines that run the registered queries.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: content.same_content(table(s, d, "comments")),
@@ -30,9 +34,9 @@ def queries() -> dict:
         "p8_found": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
         "p8_passages": lambda s, d: leakage.leaked(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_clean_documents": _clean_documents,
-        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
-        "p9_checks": lambda s, d: mixing.broken_rules(*mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))),
-        "p9_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
+        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"), vocabulary=VOCABULARY)[0],
+        "p9_checks": lambda s, d: mixing.broken_rules(*mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"), vocabulary=VOCABULARY)),
+        "p9_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"), vocabulary=VOCABULARY)[1],
         "p10_found": lambda s, d: lookalike.alike_pairs(table(s, d, "documents")),
         "p10_forms": lambda s, d: lookalike.one_form(table(s, d, "documents")),
     }

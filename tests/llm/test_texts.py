@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm import leakage, lookalike, mixing, overlap, personal
 from quern.llm.crf import Crf
 from quern.llm.personal_samples import COMMON, CUES, FAMILY, KINDS, MIDDLE, THINGS, TITLES, bare, labelled_table, syllables
+from quern.llm.queries import VOCABULARY
 from quern.llm.tokens import split_words
 
 
@@ -147,7 +148,7 @@ def test_mix(spark):
     data = [(i, " ".join(rng.choice(["một", "hai", "ba"]) for _ in range(rng.randint(5, 60))), s) for i, s in enumerate(["Lon"] * 600 + ["lon "] * 200 + ["nho_be"] * 30 + ["khac"] * 100)] + [(9000, None, "lon"), (9001, "", "lon"), (None, "x", None)]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
     t = spark.createDataFrame([("lon", 0.5, 1), ("nho-be", 0.06, 3), ("thieu", 0.1, 2), ("khac", 0.2, 2)], "source string, target_share double, max_repeats int")
-    m, s = mixing.mix(d, t, block_tokens=200)
+    m, s = mixing.mix(d, t, block_tokens=200, vocabulary=VOCABULARY)
     assert {r.rule: r.n_broken for r in mixing.broken_rules(m, s, 200).collect()} == dict.fromkeys(["shared_slot", "missing_slot", "uneven_block", "gap", "taken_too_often", "over_share"], 0)
     m, s = m.toPandas(), s.toPandas().set_index("source")
     total = s.tokens.sum()
@@ -163,7 +164,7 @@ def test_mix(spark):
     m = m.sort_values(["slot", "place"])
     half = m[m.n_tokens.cumsum() <= m.n_tokens.sum() / 2]
     assert abs(half[half.source == "lon"].n_tokens.sum() / half.n_tokens.sum() - s.actual_share["lon"]) < 0.05
-    assert mixing.mix(d.limit(0), t)[0].count() == 0 and mixing.mix(d, t.limit(0))[0].count() == 0
+    assert mixing.mix(d.limit(0), t, vocabulary=VOCABULARY)[0].count() == 0 and mixing.mix(d, t.limit(0), vocabulary=VOCABULARY)[0].count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 65536])
@@ -180,10 +181,10 @@ def test_golden_points_of_large_numbers():
 
 
 def test_token_counts_match_the_tokenizer(spark):
-    enc = mixing.encoding(mixing.VOCABULARY)
+    enc = mixing.encoding(VOCABULARY)
     texts = ["Xin chào các bạn!", "", None, "<|endoftext|> 😊"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.n_tokens for r in mixing.token_counts(d, ["doc_id"]).collect()}
+    got = {r.doc_id: r.n_tokens for r in mixing.token_counts(d, ["doc_id"], vocabulary=VOCABULARY).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     assert enc.decode(enc.encode_ordinary(texts[0])) == texts[0]
 
