@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import normalize_text
+from quern.functions.text import preprocess
 from quern.labels import LABELS
 from quern.operators.evaluate import macro_metrics
 from quern.operators.features import FeatureModel, Vectorizer, fit
@@ -235,6 +235,10 @@ def softmax(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_e", shifted).withColumn("probabilities", F.transform_values("_e", lambda _, e: e / total)).drop("_e")
 
 
+def _cleaned(emoji_mode: str, stop_words: Sequence[str] | None) -> Column:
+    return preprocess(F.col("text"), stop_words=list(stop_words) if stop_words else None, emoji_mode=emoji_mode)
+
+
 @dataclass
 class Pipeline:
     """A fitted preprocessing, vocabulary and classifier."""
@@ -246,7 +250,7 @@ class Pipeline:
     score: float = 0.0
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        clean = rows.withColumn("text", normalize_text(F.col("text"), emoji_mode=self.settings.get("emoji", "keep")))
+        clean = rows.withColumn("text", _cleaned(self.settings.get("emoji", "keep"), self.settings.get("stop_words")))
         return self.model.predict(clean, self.features.transform(clean))
 
 
@@ -257,7 +261,7 @@ class Search:
 
 
 def search(
-    train: DataFrame, validation: DataFrame, feature: str, algorithm: str, ngrams: Sequence[tuple[int, int]] = ((1, 1), (1, 2)), params: Sequence[float] = (0.5, 1.0), emoji_modes: Sequence[str] = ("keep",), class_weights: Sequence[str | None] = (None,), min_dfs: Sequence[int] = (1,), sublinear: Sequence[bool] = (False,), max_features: int | None = 20_000, about: dict | None = None
+    train: DataFrame, validation: DataFrame, feature: str, algorithm: str, ngrams: Sequence[tuple[int, int]] = ((1, 1), (1, 2)), params: Sequence[float] = (0.5, 1.0), emoji_modes: Sequence[str] = ("keep",), class_weights: Sequence[str | None] = (None,), min_dfs: Sequence[int] = (1,), sublinear: Sequence[bool] = (False,), max_features: int | None = 20_000, about: dict | None = None, stop_words: Sequence[str] | None = None
 ) -> Search:
     """Tries all settings in order and keeps the first with the largest validation Macro-F1; nothing is refitted on the validation rows.
 
@@ -272,14 +276,14 @@ def search(
     grid = itertools.product(ngrams, params, emoji_modes, class_weights, min_dfs, sublinear)
     for n, (ngram, param, mode, weight, min_df, sub) in enumerate(grid):
         if mode not in texts:
-            texts[mode] = tuple(work.save(d.select("id", "label", normalize_text(F.col("text"), emoji_mode=mode).alias("text"))) for d in (train, validation))
+            texts[mode] = tuple(work.save(d.select("id", "label", _cleaned(mode, stop_words).alias("text"))) for d in (train, validation))
         tr, va = texts[mode]
         fm = fit(tr, Vectorizer(feature, ngram, min_df=min_df, max_features=max_features, sublinear_tf=sub))
         x = work.save(fm.transform(tr))
         model = fit_naive_bayes(tr, x, fm.vocabulary, param) if algorithm == "nb" else fit_with_retry(tr, x, fm.vocabulary, c=param, class_weight=weight)
         pred = model.predict(va, fm.transform(va)).join(va.select("id", F.col("label").alias("true_label")), "id")
         score = macro_metrics(pred).first()["macro_f1"]
-        settings = {"candidate": n, "feature": feature, "algorithm": algorithm, "ngram": list(ngram), "param": param, "emoji": mode, "class_weight": weight, "min_df": min_df, "sublinear": sub} | (about or {})
+        settings = {"candidate": n, "feature": feature, "algorithm": algorithm, "ngram": list(ngram), "param": param, "emoji": mode, "class_weight": weight, "min_df": min_df, "sublinear": sub, "stop_words": list(stop_words or [])} | (about or {})
         log.append(settings | {"validation_macro_f1": score})
         if out is None or score > out.score:
             out = Pipeline(f"{feature}+{algorithm}", settings, fm, model, score)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import flags, punctuation_only, py_strip, text_key, url_only
 from quern.labels import LABELS
+from quern.sources.tables import with_row_number
 
 REQUIRED = ("id", "post_id", "text", "label")
 
@@ -116,8 +117,8 @@ def audit(df: DataFrame, seq: str = "seq", file_hash: Column | None = None) -> D
     identifier_whitespace_requires_source_correction, duplicate_id or conflicting_id (compared
     with the row before of the same id), url_only, punctuation_only_no_sentiment_evidence. If any
     row of an id conflicts, its otherwise clean rows are excluded as conflicting_id as well. NULL
-    counts as ''. Only rows that share an id meet in a window, ordered by ``seq``; ids that occur
-    once stay out of it.
+    counts as ''. Rows of one id are compared in the order of ``seq``; ids that occur once stay out
+    of it.
     """
     base = df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("id", "post_id", "text") if c in df.columns})
     if "post_id" not in df.columns:
@@ -134,10 +135,14 @@ def audit(df: DataFrame, seq: str = "seq", file_hash: Column | None = None) -> D
     )
     content = F.xxhash64("post_id", "text")
     order = base.select("id", F.col(seq).alias("_seq"), content.alias("_c"))
-    shared = repeated(order, F.col("id"))
-    marked = shared.withColumn("_before", F.lag("_c").over(Window.partitionBy("id").orderBy("_seq")))
-    marked = marked.select("id", "_seq", F.when(F.col("_before").isNull(), None).when(F.col("_before") == F.col("_c"), "duplicate_id").otherwise("conflicting_id").alias("_repeat"))
-    marked = marked.withColumn("_conflict", F.max(F.coalesce(F.col("_repeat") == "conflicting_id", F.lit(False))).over(Window.partitionBy("id")))
+    # the row before of the same id is the one with the number before in the order of id and place, so
+    # an id that holds any share of the rows is cut into ranges like all others
+    shared = with_row_number(repeated(order, F.col("id")), ["id", "_seq"], name="_n")
+    before = shared.select("id", (F.col("_n") + 1).alias("_n"), F.col("_c").alias("_before"))
+    marked = shared.join(before, ["id", "_n"], "left")
+    marked = marked.select("id", "_seq", F.when(F.col("_before") == F.col("_c"), "duplicate_id").when(F.col("_before") != F.col("_c"), "conflicting_id").alias("_repeat"))
+    conflicts = marked.groupBy("id").agg(F.max(F.coalesce(F.col("_repeat") == "conflicting_id", F.lit(False))).alias("_conflict"))
+    marked = marked.join(conflicts, "id")
     joined = base.join(marked.withColumnRenamed("_seq", seq), ["id", seq], "left")
     first = F.array_compact(
         F.array(

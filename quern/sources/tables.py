@@ -180,6 +180,34 @@ def replace_with(spark: SparkSession, path: str, write) -> None:
     fs.delete(_fs(spark, old)[1], True)
 
 
+def write_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """One CSV file with a byte order mark, for spreadsheets: the columns in order, others are left out, NULL as ''.
+
+    The rows go through the driver one partition at a time; an older file is replaced when the
+    new one is complete.
+    """
+    fs, target = _fs(df.sparkSession, path)
+    made = _fs(df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:12]}")[1]
+    out, text = fs.create(made, False), io.StringIO()
+    rows = csv.writer(text, lineterminator="\n")
+    try:
+        text.write("\ufeff")
+        rows.writerow(columns)
+        for n, row in enumerate(df.select(*columns).toLocalIterator()):
+            rows.writerow(["" if v is None else v for v in row])
+            if n % 1000 == 999:
+                out.write(bytearray(text.getvalue().encode()))
+                text.seek(0)
+                text.truncate()
+        out.write(bytearray(text.getvalue().encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(made, target):
+        raise ValueError(f"{path} could not be replaced")
+
+
 def archived_name(path: str, sha256: str) -> str:
     """The name under which an older version of a file is kept: its stem, the start of its hash, its suffix."""
     head, _, name = path.rpartition("/")

@@ -118,7 +118,7 @@ def test_model_guards(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, post_id string, text string, label string, split string")
     tables.save_splits(df, str(tmp_path / "s"), "h", {})
     loaded, manifest = spark.read.parquet(str(tmp_path / "s/rows")), tables.read_json(spark, str(tmp_path / "s/manifest.json"))
-    found = models.search(loaded.where("split = 'train'"), loaded.where("split = 'validation'"), "bow", "nb", ngrams=((1, 1),), params=(1.0,), about={"split_manifest_sha256": manifest["manifest_sha256"]})
+    found = models.search(loaded.where("split = 'train'"), loaded.where("split = 'validation'"), "bow", "nb", ngrams=((1, 1),), params=(1.0,), stop_words=["lắm"], about={"split_manifest_sha256": manifest["manifest_sha256"]})
     about = models.save_pipeline(found.best, str(tmp_path / "m"))
     out = evaluate.evaluate_model(models.load_pipeline(spark, str(tmp_path / "m")), loaded, manifest)
     m = out["metrics"].first()
@@ -154,6 +154,25 @@ def test_near_flag_and_report(spark):
     assert got["rows", "all"] == 3 and got["rows", "excluded"] == 1 and got["flag", "near_duplicate_candidate"] == 2 and got["reason", "punctuation_only_no_sentiment_evidence"] == 1
 
 
+def test_audit_of_a_hot_id(spark):
+    rows = [(n, "hot" if n % 3 else f"i{n}", "p", f"t{n // 30}") for n in range(300)]
+    out = {r.seq: r.reasons for r in quality.audit(spark.createDataFrame(rows, "seq long, id string, post_id string, text string").repartition(5)).collect()}
+    last = None
+    for n, i, _, t in rows:
+        want = [] if i != "hot" else ["conflicting_id"] if last in (None,) or t != last else ["duplicate_id"]
+        assert out[n] == want, n
+        last = t if i == "hot" else last
+
+
+def test_spreadsheet_file(spark, tmp_path):
+    df = spark.createDataFrame([("001", 'a "b", c\nd', "x"), ("002", None, "y")], "id string, text string, more string")
+    path = str(tmp_path / "t.csv")
+    for _ in range(2):  # the second replaces the first
+        tables.write_table(df.orderBy("id"), path, ["text", "id"])
+    assert (tmp_path / "t.csv").read_bytes() == '\ufefftext,id\n"a ""b"", c\nd",001\n,002\n'.encode()
+    assert [r.id for r in tables.read_csv(spark, path).collect()] == ["001", "002"]
+
+
 def test_archived_names():
     assert tables.archived_name("/x/labels.csv", "ab" * 32) == "/x/labels_" + "ab" * 6 + ".csv"
     assert tables.archived_name("labels", "ab" * 32) == "labels_" + "ab" * 6
