@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.crf import Crf
 from quern.llm.personal_samples import DIGITS, FAMILY, GIVEN, KINDS, THINGS, TITLES, bare, labelled_table
 from quern.llm.tokens import code_points, run_hashes
-from quern.sources.tables import exists
+from quern.sources.tables import exists, replace_with
 from quern.workspace import shared_folder
 
 LABELS = ("O", *(f"{x}-{k}" for k in KINDS for x in "BI"))
@@ -461,11 +461,8 @@ def fitted(spark: SparkSession, path: str | None = None, samples: int = SAMPLES,
                 yield pa.RecordBatch.from_arrays([pa.array([Tagger.fit(samples, epochs, seed).state()], pa.binary())], ["state"])
 
     if not exists(spark, f"{path}/_SUCCESS"):
-        try:
-            spark.range(1, numPartitions=1).mapInArrow(train, "state binary").write.parquet(path)
-        except Exception:  # another process may have saved it meanwhile
-            if not exists(spark, f"{path}/_SUCCESS"):
-                raise
+        made = spark.range(1, numPartitions=1).mapInArrow(train, "state binary")
+        replace_with(spark, path, lambda to: made.write.parquet(to))  # complete or not there; another process writes the same
     return spark.read.schema("state binary").parquet(path).first()[0]  # one row; its size is bound by the labelled table
 
 
