@@ -117,8 +117,10 @@ def content_classes(records: DataFrame, id_col: str = "id", text_col: str = "tex
     )
     rows = keyed.select("id", F.size("ws").alias("n_words"), F.explode(both).alias("k")).where("k.key IS NOT NULL")
     rows = rows.select("k.kind", "k.key", "id", F.lit(1).cast("bigint").alias("n"), "n_words", F.monotonically_increasing_id().alias("spread"))
+    rows = work.save(rows)  # the ranges are sampled from the keys first, so these are read twice
     ordered = rows.repartitionByRange("kind", "key", "id", "spread").sortWithinPartitions("kind", "key", "id")
     scanned = work.save(ordered.drop("spread").mapInArrow(_scan, _SCAN_DDL))
+    work.drop(rows)
 
     # runs of one key in several partitions: at most two of each partition have a key to compare
     border = scanned.where("border_key IS NOT NULL").groupBy("kind", "border_key", "part", "run").agg(F.min("first_id").alias("f"))
