@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import duplicates, quality
+from quern.operators import duplicates, quality, set_join
 from quern.streaming import ingest
 
 
@@ -171,3 +171,16 @@ def test_stream_imports_each_file_once(spark, tmp_path):
     assert exists(spark, store)
     read = lambda n: sorted(r.id for r in spark.read.parquet(f"{store}/{n}").collect())
     assert read("comments") == ["001", "002", "004"] and read("duplicates") == ["003"] and read("rejected") == ["002"]
+
+
+def test_set_join_forms_few_candidates_and_loses_no_pair(spark):
+    # texts of common words only: one key of two words is shared by nearly all pairs
+    rng = random.Random(3)
+    vocab = ["w%03d" % i for i in range(150)]
+    sets = [rng.sample(vocab, 40) for _ in range(300)]
+    sets += [[*s[:-4], *(w + "x" for w in s[-4:])] for s in sets[:60]] + [["a", "b", "c"], ["a", "b", "c", "d"], ["e"], ["e", "f"]]
+    rows = [(n, 100, s) for n, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cid long, len int, w array<string>").select("cid", "len", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    got = {(r.a, r.b) for r in set_join.candidates(df, len(rows)).collect()}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len({*sets[i]} & {*sets[j]}) >= 3 * len({*sets[i]} | {*sets[j]})}
+    assert near <= got and len(near) > 60 and len(got) < 4 * len(near)
