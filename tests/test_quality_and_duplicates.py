@@ -184,3 +184,13 @@ def test_set_join_forms_few_candidates_and_loses_no_pair(spark):
     got = {(r.a, r.b) for r in set_join.candidates(df, len(rows)).collect()}
     near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len({*sets[i]} & {*sets[j]}) >= 3 * len({*sets[i]} | {*sets[j]})}
     assert near <= got and len(near) > 60 and len(got) < 4 * len(near)
+
+
+def test_ratio_is_that_of_difflib():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
+        b = "".join(rng.choice("abc ") if rng.random() < 0.08 else c for c in a if rng.random() > 0.03) or "a"
+        r = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert duplicates.ratio(a, b, 0.0) == r
+        assert duplicates.ratio(a, b, 0.9) == (r if r >= 0.9 else 0.0)
