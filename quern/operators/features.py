@@ -2,13 +2,18 @@
 
 A vocabulary is fitted on the training rows only and is itself a table; transforming is an
 aggregation and a join on the term. Vocabularies are broadcast only when they are checked to be
-small; without max_features they may have any size.
+small; without max_features they may have any size. For a bounded vocabulary ``pack`` gives the same
+features as one row a text, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +60,37 @@ def term_counts(rows: DataFrame, vectorizer: Vectorizer, id_col: str = "id", tex
     return out.groupBy(id_col, *keep, "part", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _grams(vectorizer: Vectorizer, text_col: str) -> list[Column]:
+    """For each part the array of all term occurrences of a text."""
+    tk = tokens(F.col(text_col))
+    named = [(prefix, grams(tk)) for prefix, grams, _ in vectorizer.parts()]
+    return [(F.transform(g, lambda t: F.concat(F.lit(prefix), t)) if prefix else g).alias(f"_g{n}") for n, (prefix, g) in enumerate(named)]
+
+
+def _counted(grams: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, tf) of every different term of every text, by row, and the terms of the codes."""
+    coded = pc.dictionary_encode(grams.flatten())
+    size = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(grams)), np.diff(np.asarray(grams.offsets)))
+    key, tf = np.unique(row * size + np.asarray(coded.indices), return_counts=True)
+    return key // size, key % size, tf, coded.dictionary
+
+
+def term_totals(rows: DataFrame, vectorizer: Vectorizer, text_col: str = "text") -> DataFrame:
+    """(part, term, df, total) where each row is a text of its own: rows are counted where they lie, only sums a batch are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, col in enumerate(b.columns):
+                _, code, tf, terms = _counted(col)
+                df = np.bincount(code, minlength=len(terms))
+                total = np.bincount(code, weights=tf, minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), n, np.int32)), terms, pa.array(df), pa.array(total)], ["part", "term", "df", "total"])
+
+    sums = rows.select(*_grams(vectorizer, text_col)).mapInArrow(run, "part int, term string, df bigint, total bigint")
+    return sums.groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 @dataclass
 class FeatureModel:
     """A fitted vocabulary: (part, term, df, total, idf), and the number of training texts."""
@@ -75,21 +111,56 @@ class FeatureModel:
         norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(id_col, "part")))
         return weighted.select(id_col, *keep, "term", (F.col("v") / norm).alias("value"))
 
+    def pack(self, rows: DataFrame, keep: tuple[str, ...] = ("id",), text_col: str = "text") -> DataFrame:
+        """(*keep, j, v): the features of :meth:`transform`, one row a text and without a shuffle.
+
+        j numbers the terms of the vocabulary in their order; a text without any term has empty
+        arrays. The vocabulary is sent to the tasks, so max_features must bound it.
+        """
+        vocabulary = self.vocabulary.select("term", "idf").orderBy("term").toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((vocabulary["term"].combine_chunks(), np.asarray(vocabulary["idf"])))
+        how, n_keep = self.vectorizer, len(keep)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, idf = sent.value
+            for b in batches:
+                parts = []
+                for col in b.columns[n_keep:]:
+                    row, code, tf, terms = _counted(col)
+                    j = np.asarray(pc.index_in(terms, value_set=known).fill_null(-1))[code]
+                    row, tf, j = row[j >= 0], tf[j >= 0].astype(float), j[j >= 0]
+                    if how.kind != "bow":
+                        tf = (1 + np.log(tf) if how.sublinear_tf else tf) * idf[j]
+                        tf /= np.sqrt(np.bincount(row, weights=tf * tf, minlength=b.num_rows))[row]
+                    parts.append((row, j, tf))
+                row, j, v = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(row, kind="stable")
+                cuts = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (j[order].astype(np.int32), v[order])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], *lists], [*keep, "j", "v"])
+
+        types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+        return rows.select(*keep, *_grams(how, text_col)).mapInArrow(run, ", ".join([*types, "j array<int>", "v array<double>"]))
+
 
 def _bound(x: int | float, n: Column) -> Column:
     return F.lit(x) * n if isinstance(x, float) else F.lit(x)
 
 
-def fit(train: DataFrame, vectorizer: Vectorizer, id_col: str = "id", text_col: str = "text") -> FeatureModel:
+def fit(train: DataFrame, vectorizer: Vectorizer, id_col: str = "id", text_col: str = "text", unique: bool = False) -> FeatureModel:
     """The vocabulary of the training rows; an empty training set is an error.
 
     Of terms with equal totals at the max_features cut, the alphabetically first are kept.
+    ``unique`` says that no id has two rows, so that nothing has to be gathered by id.
     """
     n = train.select(id_col).count()
     if not n:
         raise ValueError("the training set is empty")
-    counts = term_counts(train, vectorizer, id_col, text_col)
-    terms = counts.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    if unique:
+        terms = term_totals(train, vectorizer, text_col)
+    else:
+        counts = term_counts(train, vectorizer, id_col, text_col)
+        terms = counts.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     docs = F.lit(n)
     terms = terms.where((F.col("df") >= _bound(vectorizer.min_df, docs)) & (F.col("df") <= _bound(vectorizer.max_df, docs)))
     kept = None

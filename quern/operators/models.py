@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
+import mmap
+import secrets
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +89,7 @@ class LinearSvm:
     gradient_norm: float
 
     def predict(self, rows: DataFrame, features: DataFrame) -> DataFrame:
-        """(id, predicted_label, scores): scores are the one-against-rest margins."""
+        """(id, predicted_label, scores): scores are the one-against-rest margins. features: (id, term, value)."""
         bias = self.weights.where("term = ''").select("label", F.col("weight").alias("bias")).collect()  # one row a label
         base = _per_label(rows.select("id").distinct(), [r.asDict() for r in bias])
         sums = features.join(maybe_broadcast(self.weights.where("term <> ''"), 1_000_000), "term").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
@@ -90,6 +97,28 @@ class LinearSvm:
         return _best(scores)
 
 
+    def predict_packed(self, packed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """The rows of FeatureModel.pack with predicted_label and scores instead of the features."""
+        terms = vocabulary.select("term").orderBy("term").toArrow()["term"].combine_chunks()
+        own = self.weights.select("label", "term", "weight").toArrow()  # at most MOST_TERMS a label
+        w = np.zeros((len(self.labels), len(terms) + 1))
+        w[pc.index_in(own["label"], pa.array(self.labels)).to_numpy(), pc.index_in(own["term"], terms).fill_null(len(terms)).to_numpy()] = own["weight"].to_numpy()
+        sent, keep = packed.sparkSession.sparkContext.broadcast(w), [c for c in packed.columns if c not in ("j", "v")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                j, x = np.asarray(b.column("j").flatten()), np.asarray(b.column("v").flatten())
+                row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column("j").offsets)))
+                m = np.stack([np.bincount(row, weights=u[j] * x, minlength=b.num_rows) + u[-1] for u in sent.value], axis=1)
+                cuts = pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(cuts, pa.array(m.ravel()))], [*keep, "m"])
+
+        types = [f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keep).schema]
+        scores = packed.select(*keep, "j", "v").mapInArrow(run, ", ".join([*types, "m array<double>"]))
+        ranked = F.array(*[F.struct((-F.col("m")[n]).alias("s"), F.lit(x).alias("label")) for n, x in enumerate(self.labels)])
+        return scores.select(*keep, F.array_min(ranked)["label"].alias("predicted_label"), F.map_from_arrays(F.array(*map(F.lit, self.labels)), "m").alias("scores"))
+
+
 class NotConverged(ValueError):
     """The solver reached its last iteration before the gradient was small enough."""
 
@@ -103,58 +132,68 @@ def fit_linear_svm(
 ) -> LinearSvm:
     """One-against-rest L2-regularized squared-hinge SVMs, the bias regularized as a constant feature.
 
-    Losses and gradients are summed by Spark: each task sums its rows in numpy, the partial sums
-    of a term are added in a shuffle, and at most one number per term and label comes to the
-    driver, where L-BFGS steps all labels together. Fails with NotConverged after max_iter.
+    features: (id, term, value), or the labelled rows packed with their labels (FeatureModel.pack).
+    The rows are cut into blocks of numpy arrays. Losses, gradients and products with the Hessian
+    are summed over the blocks by tasks that hold their share for the whole fit and run at the same
+    time (a barrier stage); where a session can't promise that, by one Spark job a sum. All labels
+    are stepped together. Fails with NotConverged after max_iter Newton steps.
     """
     spark = labelled.sparkSession
     work = Workspace(spark, "svm")
     terms = [r[0] for r in vocabulary.select("term").distinct().orderBy("term").limit(MOST_TERMS + 1).collect()]
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms: set max_features")
-    index = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "j": pa.array(range(len(terms)), pa.int32())}))
-    packed = features.join(maybe_broadcast(index, 1_000_000), "term").groupBy("id").agg(F.collect_list(F.struct("j", "value")).alias("x"))
     ordinal = F.create_map(*[F.lit(v) for i, x in enumerate(labels) for v in (x, i)])
-    rows = labelled.select("id", F.try_element_at(ordinal, F.col("label")).alias("y")).where("y IS NOT NULL").join(packed, "id", "left")
-    rows, seen = work.save_counted(rows.select("y", F.coalesce("x.j", F.array().cast("array<int>")).alias("j"), F.coalesce("x.value", F.array().cast("array<double>")).alias("v")))
-    n, k, v = seen["n"], len(labels), len(terms) + 1
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    # balanced: a class weighs as much as all others, as n / (2 * its rows)
-    positive = np.array([c * (n / (2 * counts[i]) if class_weight == "balanced" and counts.get(i) else 1.0) for i in range(k)])
-    negative = np.array([c * (n / (2 * (n - counts.get(i, 0))) if class_weight == "balanced" and n > counts.get(i, 0) else 1.0) for i in range(k)])
-
-    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
-        sent = spark.sparkContext.broadcast(w)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = sent.value
-            grad, loss = np.zeros((k, v)), 0.0
-            for b in batches:
-                y = np.asarray(b.column(0))
-                js, vs = b.column(1), b.column(2)
-                cuts = np.asarray(js.offsets)
-                j, x = np.asarray(js.values)[cuts[0] : cuts[-1]], np.asarray(vs.values)[cuts[0] : cuts[-1]]
-                row = np.repeat(np.arange(len(y)), np.diff(cuts))
-                for q in range(k):
-                    sign = np.where(y == q, 1.0, -1.0)
-                    cost = np.where(y == q, positive[q], negative[q])
-                    margin = np.bincount(row, weights=weights[q, j] * x, minlength=len(y)) + weights[q, -1]
-                    slack = np.maximum(0.0, 1 - sign * margin)
-                    loss += float((cost * slack * slack).sum())
-                    d = -2 * cost * slack * sign
-                    grad[q, :-1] += np.bincount(j, weights=d[row] * x, minlength=v - 1)
-                    grad[q, -1] += d.sum()
-            q, j = np.nonzero(grad)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(q, -1).astype(np.int32)), pa.array(np.append(j, 0).astype(np.int32)), pa.array(np.append(grad[q, j], loss))], ["q", "j", "g"])
-
-        sums = rows.mapInArrow(run, "q int, j int, g double").groupBy("q", "j").agg(F.sum("g").alias("g")).toPandas()
-        sent.unpersist()
-        grad = w.copy()
-        own = sums[sums.q >= 0]
-        grad[own.q, own.j] += own.g
-        return 0.5 * float((w * w).sum()) + float(sums[sums.q < 0].g.sum()), grad
-
-    w, its, norm = _lbfgs(evaluate, np.zeros((k, v)), tol, max_iter)
+    if "j" in features.columns:
+        rows = features
+    else:
+        index = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "j": pa.array(range(len(terms)), pa.int32())}))
+        packed = features.join(maybe_broadcast(index, 1_000_000), "term").groupBy("id").agg(F.collect_list(F.struct("j", "value")).alias("x"))
+        rows = labelled.select("id", "label").join(packed, "id", "left").select("label", F.coalesce("x.j", F.array().cast("array<int>")).alias("j"), F.coalesce("x.value", F.array().cast("array<double>")).alias("v"))
+    rows = rows.select(F.try_element_at(ordinal, F.col("label")).alias("y"), "j", "v").where("y IS NOT NULL")
+    k, v = len(labels), len(terms) + 1
+    positive, negative = np.full(k, float(c)), np.full(k, float(c))
+    if class_weight == "balanced":  # a class weighs as much as all others, as n / (2 * its rows)
+        counts = {r["label"]: r["count"] for r in labelled.where(F.col("label").isin(*labels)).groupBy("label").count().collect()}
+        n = sum(counts.values())
+        for i, x in enumerate(labels):
+            positive[i] *= n / (2 * counts[x]) if counts.get(x) else 1.0
+            negative[i] *= n / (2 * (n - counts.get(x, 0))) if n > counts.get(x, 0) else 1.0
+
+    def loss(w: np.ndarray, total: np.ndarray, block: _Block, q: int, sign: np.ndarray, cost: np.ndarray) -> None:
+        slack = np.maximum(0.0, 1 - sign * block.margins(w[q]))
+        total[0] += (cost * slack * slack).sum()
+        block.add_to(total[1 : v + 1], -2 * cost * slack * sign, block.x)
+        block.add_to(total[v + 1 :], 2 * cost * (slack > 0), block.x * block.x)
+
+    def curved(wp: np.ndarray, total: np.ndarray, block: _Block, q: int, sign: np.ndarray, cost: np.ndarray) -> None:
+        inside = sign * block.margins(wp[0, q]) < 1
+        block.add_to(total, 2 * cost * inside * block.margins(wp[1, q]), block.x)
+
+    def share(name: str, sent: np.ndarray, blocks: Iterator[list]) -> np.ndarray:
+        add, size = {"loss": (loss, 2 * v + 1), "curved": (curved, v)}[name]
+        total = np.zeros((k, size))
+        for one in blocks:
+            block = _Block(*one, v)
+            for q in range(k):
+                add(sent, total[q], block, q, np.where(block.y == q, 1.0, -1.0), np.where(block.y == q, positive[q], negative[q]))
+        return total
+
+    def minimum(summed) -> tuple[np.ndarray, int, float]:
+        def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = summed("loss", w)
+            return s[:, 0] + 0.5 * (w * w).sum(1), s[:, 1 : v + 1] + w, s[:, v + 1 :] + 1
+
+        return _newton(evaluate, lambda w, p: summed("curved", np.stack([w, p])) + p, np.zeros((k, v)), tol, max_iter)
+
+    slots = _slots(spark)
+    if slots:
+        w, its, norm = _solve_together(_blocks(rows, v), slots, share, minimum)
+        w = w.reshape(k, v)
+    else:
+        blocks = work.save(_blocks(rows, v), "none")
+        w, its, norm = minimum(_summed_by_jobs(blocks, share))
+        work.drop(blocks)
     flat = pa.table({"label": pa.array(np.repeat(labels, v)), "term": pa.array([*terms, ""] * k, pa.string()), "weight": pa.array(w.ravel())})
     out = LinearSvm(work.save(spark.createDataFrame(flat).where("weight <> 0 OR term = ''")), tuple(labels), its, norm)
     if norm > tol:
@@ -162,39 +201,185 @@ def fit_linear_svm(
     return out
 
 
-def _lbfgs(evaluate, w: np.ndarray, tol: float, max_iter: int, memory: int = 12) -> tuple[np.ndarray, int, float]:
-    """Minimises by L-BFGS with backtracking; ends when the gradient's norm is ``tol`` times the first one (then given as such)."""
-    value, grad = evaluate(w)
+# Rows of a block: its arrays stay in the processor's cache.
+BLOCK_ROWS = 500
+# Sums of more tasks than this are added in tasks before they come to the driver.
+MOST_SUMS = 32
+
+
+def _blocks(rows: DataFrame, v: int) -> DataFrame:
+    """(y, sizes, j, x): up to BLOCK_ROWS rows of (y, j, v) as the bytes of four arrays."""
+    small = np.uint16 if v <= 1 << 16 else np.int32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, cuts = np.asarray(b.column(0)).astype(np.int16), np.asarray(b.column(1).offsets)
+            j, x = np.asarray(b.column(1).flatten()).astype(small), np.asarray(b.column(2).flatten())
+            sizes, cuts = np.diff(cuts).astype(np.int32), cuts - cuts[0]
+            at = [(a, min(a + BLOCK_ROWS, len(y))) for a in range(0, len(y), BLOCK_ROWS)]
+            made = [[y[a:e].tobytes(), sizes[a:e].tobytes(), j[cuts[a] : cuts[e]].tobytes(), x[cuts[a] : cuts[e]].tobytes()] for a, e in at]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*made)], ["y", "sizes", "j", "x"])
+
+    return rows.mapInArrow(run, "y binary, sizes binary, j binary, x binary")
+
+
+class _Block:
+    """Rows of a sparse matrix with a last column of ones."""
+
+    def __init__(self, y: pa.Buffer, sizes: pa.Buffer, j: pa.Buffer, x: pa.Buffer, v: int):
+        self.y, self.sizes, self.x = np.frombuffer(y, np.int16), np.frombuffer(sizes, np.int32), np.frombuffer(x)
+        self.j = np.frombuffer(j, np.uint16 if v <= 1 << 16 else np.int32).astype(np.int64)
+        self.filled = self.sizes > 0
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        m = np.full(len(self.y), w[-1])
+        if len(self.starts):
+            t = np.take(w, self.j)
+            t *= self.x
+            m[self.filled] += np.add.reduceat(t, self.starts)
+        return m
+
+    def add_to(self, total: np.ndarray, d: np.ndarray, x: np.ndarray) -> None:
+        """Adds to the total, for each column, the sum of d times the column; ``x`` are its entries."""
+        t = np.repeat(d, self.sizes)
+        t *= x
+        total[:-1] += np.bincount(self.j, weights=t, minlength=len(total) - 1)
+        total[-1] += d.sum()
+
+
+def _slots(spark) -> int:
+    """How many tasks the session can run at the same time; 0 if that may change."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def _solve_together(blocks: DataFrame, slots: int, share, minimum) -> tuple[np.ndarray, int, float]:
+    """The weights, steps and norm of minimum(summed), where summed adds the shares of all tasks.
+
+    Each task keeps its blocks in a mapped file. The first one runs the solver, sends the others
+    what to sum and adds their sums; a task that fails ends the others and the stage is tried again.
+    """
+    key = secrets.token_bytes(16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        with tempfile.TemporaryFile() as file:
+            sizes = []
+            for b in batches:
+                for one in zip(*(b.column(c) for c in ("x", "sizes", "j", "y"))):
+                    parts = [x.as_buffer() for x in one]
+                    sizes.append([len(x) for x in parts])
+                    file.write(b"".join(parts) + bytes(-sum(sizes[-1]) % 8))
+            file.flush()
+            mapped = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if sizes else b"")
+
+            def own() -> Iterator[list]:
+                at = 0
+                for n in sizes:
+                    cuts = at + np.cumsum([0, *n])
+                    x, rows, j, y = (mapped[a:e] for a, e in itertools.pairwise(cuts.tolist()))
+                    yield [y, rows, j, x]
+                    at = int(cuts[-1]) + -sum(n) % 8
+
+            if context.partitionId():
+                port = context.allGather("")[0]
+                host = context.getTaskInfos()[0].address.rpartition(":")[0].strip("[]")
+                with Client((host, int(port)), authkey=key) as first:
+                    while (asked := first.recv()) is not None:
+                        first.send(share(*asked, own()))
+                return
+            with Listener(("", 0), backlog=slots, authkey=key) as listener:
+                context.allGather(str(listener.address[1]))
+                others = [listener.accept() for _ in range(slots - 1)]
+
+            def summed(*asked) -> np.ndarray:
+                for c in others:
+                    c.send(asked)
+                return sum((c.recv() for c in others), share(*asked, own()))
+
+            w, its, norm = minimum(summed)
+            for c in others:
+                c.send(None)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([its], pa.int32()), pa.array([norm])], ["w", "its", "norm"])
+
+    # empty partitions are tasks too, so the number of tasks is that of the slots
+    out = blocks.repartition(slots).mapInArrow(run, "w binary, its int, norm double", barrier=True).toArrow()
+    return np.frombuffer(out["w"][0].as_buffer()), out["its"][0].as_py(), out["norm"][0].as_py()
+
+
+def _summed_by_jobs(blocks: DataFrame, share):
+    """summed for a minimum that the driver finds: one job a sum."""
+    tasks = blocks.select(F.spark_partition_id()).distinct().count()
+
+    def summed(name: str, sent: np.ndarray) -> np.ndarray:
+        values = blocks.sparkSession.sparkContext.broadcast(sent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = share(name, values.value, ([x.as_buffer() for x in one] for b in batches for one in zip(*b.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["s"])
+
+        out = _sum(blocks.mapInArrow(run, "s binary"), tasks, share(name, sent, iter(())).ravel())
+        values.destroy()
+        return out.reshape(sent.shape[-2], -1)
+
+    return summed
+
+
+def _sum(parts: DataFrame, tasks: int, zero: np.ndarray) -> np.ndarray:
+    """The sum of the vectors in column s, one a task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for s in b.column(0):
+                one = np.frombuffer(s.as_buffer())
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["s"])
+
+    while tasks > MOST_SUMS:
+        tasks = math.isqrt(tasks)
+        parts = parts.repartition(tasks).mapInArrow(add, "s binary")
+    return sum((np.frombuffer(s.as_buffer()) for s in parts.toArrow()["s"]), zero)
+
+
+def _newton(evaluate, product, w: np.ndarray, tol: float, max_iter: int, most_products: int = 250) -> tuple[np.ndarray, int, float]:
+    """Minimises by Newton steps, one row of w a problem of its own; ends when the gradient's norm is ``tol`` times the first one (then given as such).
+
+    The steps solve with the generalized Hessian by conjugate gradients scaled by its diagonal, as
+    closely as the gradient is small, and are halved for the problems that they don't improve.
+    """
+    value, grad, diagonal = evaluate(w)
     first = float(np.linalg.norm(grad)) or 1.0
-    s_list: list[np.ndarray] = []
-    y_list: list[np.ndarray] = []
     for it in range(max_iter):
-        norm = float(np.linalg.norm(grad)) / first
-        if norm <= tol:
-            return w, it, norm
-        q = grad.copy()
-        alphas = []
-        for s, y in zip(reversed(s_list), reversed(y_list)):
-            a = float((s * q).sum() / (s * y).sum())
-            alphas.append(a)
-            q -= a * y
-        if s_list:
-            q *= float((s_list[-1] * y_list[-1]).sum() / (y_list[-1] ** 2).sum())
-        else:
-            q /= max(1.0, first)
-        for (s, y), a in zip(zip(s_list, y_list), reversed(alphas)):
-            q += (a - float((y * q).sum() / (s * y).sum())) * s
-        slope, step = -float((grad * q).sum()), 1.0
+        norm = float(np.linalg.norm(grad))
+        if norm <= tol * first:
+            return w, it, norm / first
+        enough = max(min(0.1, math.sqrt(norm / first)) * norm, 0.5 * tol * first)
+        d, rest = np.zeros_like(w), -grad
+        z = rest / diagonal
+        p, old = z, (rest * z).sum(1)
+        for _ in range(most_products):
+            hp = product(w, p)
+            a = (old / np.maximum((p * hp).sum(1), 1e-300))[:, None]
+            d, rest = d + a * p, rest - a * hp
+            if np.linalg.norm(rest) <= enough:
+                break
+            z = rest / diagonal
+            new = (rest * z).sum(1)
+            p, old = z + (new / np.maximum(old, 1e-300))[:, None] * p, new
+        step, slope = np.ones(len(w)), (grad * d).sum(1)
         while True:
-            new = w - step * q
-            fresh, fresh_grad = evaluate(new)
-            if fresh <= value + 1e-4 * step * slope or step < 1e-10:
+            fresh, fresh_grad, fresh_diagonal = evaluate(w + step[:, None] * d)
+            worse = fresh > value + 1e-4 * step * slope + 1e-12 * np.abs(value)
+            if not worse.any() or step.min() < 1e-10:
                 break
-            step /= 2
-        s, y = new - w, fresh_grad - grad
-        if (s * y).sum() > 1e-12:
-            s_list, y_list = [*s_list, s][-memory:], [*y_list, y][-memory:]
-        w, value, grad = new, fresh, fresh_grad
+            step[worse] /= 2
+        w, value, grad, diagonal = w + step[:, None] * d, fresh, fresh_grad, fresh_diagonal
     return w, max_iter, float(np.linalg.norm(grad)) / first
 
 

@@ -107,6 +107,45 @@ def test_svm_reaches_the_optimum(spark, weight):
     assert models.fit_with_retry(train, x, fm.vocabulary, max_iter=1, retry_max_iter=500, tol=1e-3).iterations > 1
 
 
+def svm_case(spark):
+    rng = random.Random(9)
+    train = labelled(spark, [(str(i), rng.choice(LABELS), " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(7)))) for i in range(1200)]).repartition(3)
+    fm = features.fit(train, features.Vectorizer("tfidf"), unique=True)
+    return train, fm
+
+
+def test_packed_features_are_the_long_ones(spark):
+    train, fm = svm_case(spark)
+    rows = lambda m: sorted(tuple(r) for r in m.vocabulary.select("part", "term", "df", "total", "idf").collect())
+    for how in (features.Vectorizer("bow", (1, 2), min_df=2), features.Vectorizer("tfidf", max_features=9, sublinear_tf=True), features.Vectorizer("tfidf_word_char")):
+        fm = features.fit(train, how, unique=True)
+        assert rows(fm) == rows(features.fit(train, how))
+        terms = [r.term for r in fm.vocabulary.orderBy("term").collect()]
+        got = {(r.id, terms[j]): v for r in fm.pack(train).collect() for j, v in zip(r.j, r.v)}
+        assert got == pytest.approx({(r.id, r.term): r.value for r in fm.transform(train).collect()})
+        assert fm.pack(train).count() == 1200
+
+
+def test_svm_of_packed_rows_takes_few_spark_jobs(spark, monkeypatch):
+    train, fm = svm_case(spark)
+    packed, context = fm.pack(train, ("id", "label")), spark.sparkContext
+    context.setJobGroup("svm-jobs", "")
+    try:
+        svm = models.fit_linear_svm(train, packed, fm.vocabulary, tol=1e-6)
+        assert len(context.statusTracker().getJobIdsForGroup("svm-jobs")) < 20  # however many sums the solver takes
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert svm.gradient_norm <= 1e-6
+    weights = lambda m: {(r.label, r.term): r.weight for r in m.weights.collect()}
+    monkeypatch.setattr(models, "_slots", lambda _: 0)
+    monkeypatch.setattr(models, "MOST_SUMS", 1)
+    by_jobs = models.fit_linear_svm(train, fm.transform(train), fm.vocabulary, tol=1e-6)
+    assert weights(by_jobs) == pytest.approx(weights(svm), abs=1e-3)
+    scores = {r.id: r for r in svm.predict(train, fm.transform(train)).collect()}
+    for r in svm.predict_packed(packed, fm.vocabulary).collect():
+        assert (r.predicted_label, r.scores) == (scores[r.id].predicted_label, pytest.approx(scores[r.id].scores))
+
+
 def test_search_save_and_load(spark, tmp_path):
     rng = random.Random(5)
     make = lambda n, k: [(f"{k}{i}", y := rng.choice(LABELS), {"positive": "vui", "neutral": "hỏi", "negative": "chán"}[y] + " " + rng.choice("abc") + " quá") for i in range(n)]
